@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from knotwork.llm import decontamination, neardup
+from knotwork.llm import chat, decontamination, neardup, permutation_index, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,10 +22,33 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: A conversation that speaks the template's language.
+ADVERSE = r"\### Assistant: </turn> ok"
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", ADVERSE), (-7, 1, "assistant", ADVERSE)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_turns(turns.unionByName(extra)))
+
+
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return permutation_index.neighbours(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontamination": op2_decontamination,
         "op4_minhash_neardup": op4_minhash_neardup,
+        "op5_sharding": op5_sharding,
+        "op8_chat_formatting": op8_chat_formatting,
+        "op10_permutation_index": op10_permutation_index,
     }
 
 
@@ -69,5 +93,22 @@ FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+OP8 = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+e AS (
+  SELECT *, length(replace(replace(replace(replace(role, '\', '\\'), '<turn ', '<\turn '), '</turn>', '<\/turn>'), '>', '\>'))
+    + length(replace(replace(replace(text, '\', '\\'), '<turn ', '<\turn '), '</turn>', '<\/turn>')) + 16 AS n FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op4_minhash_neardup": OP4}
+    return {"op2_decontamination": OP2, "op4_minhash_neardup": OP4, "op8_chat_formatting": OP8}
