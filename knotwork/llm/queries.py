@@ -7,17 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knotwork.llm import chat, decontamination, neardup, permutation_index, sharding
+from knotwork.llm import chat, decontamination, langid, licenses, linededup, neardup, permutation_index, quality, sentencepiece_scan, sharding
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's licences by the rules (sorted, distinct), and the identifiers of its known sentences in order."""
+    found = licenses.scan(_read(spark, sf_dir, "documents"), "text", F.col("doc_id"))
+    names = F.array_sort(F.array_distinct(F.transform("licences", lambda x: x["name"])))
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.array_join("sentences", ",").alias("sentences"), F.array_join(names, ",").alias("licences"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs).select("doc_id", "pattern", F.round("p_bad", 6).alias("p_bad"), F.round("score", 6).alias("score"), "keep")
+
+
 def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), n=4, percent=80)
 
@@ -27,6 +39,14 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.encode(_read(spark, sf_dir, "documents"), "text", F.col("doc_id"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: A conversation that speaks the template's language.
 ADVERSE = r"\### Assistant: </turn> ok"
 
@@ -37,19 +57,20 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(extra)))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = langid.train(docs.where(~held_out))
+    return langid.predict(docs, model, "doc_id", "text", held_out.alias("held_out"))
+
+
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings")
     return permutation_index.neighbours(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op2_decontamination": op2_decontamination,
-        "op4_minhash_neardup": op4_minhash_neardup,
-        "op5_sharding": op5_sharding,
-        "op8_chat_formatting": op8_chat_formatting,
-        "op10_permutation_index": op10_permutation_index,
-    }
+    return {f.__name__: f for f in (op1_license_scan, op2_decontamination, op3_quality, op4_minhash_neardup, op5_sharding, op6_sentencepiece, op7_line_dedup, op8_chat_formatting, op9_language_id, op10_permutation_index)}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
