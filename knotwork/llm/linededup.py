@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,30 +123,31 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = batch.column(len(names))
-            texts = batch.column(at)
-            out, n_units, gone = [], [], []
-            for lo, hi, data, offsets in text_slices(texts):
+            # a slice at a time, and texts that stay as they are without a copy
+            for lo, hi, data, offsets in text_slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                marked, texts = part.column(len(names)), part.column(at)
                 begin, _, _, first = units(data, offsets)
-                n_units.extend(np.diff(first).tolist())
-                for i in range(hi - lo):
-                    places = marked[lo + i]
-                    if not places.is_valid:
-                        out.append(texts[lo + i].as_py())
-                        gone.append(0)
-                        continue
-                    n = int(first[i + 1] - first[i])
-                    depth = np.zeros(n + 1, np.int64)
-                    place = np.asarray(places.values)
-                    np.add.at(depth, place // PACK, 1)
-                    np.add.at(depth, place // PACK + place % PACK, -1)
-                    drop = np.cumsum(depth)[:n] > 0
-                    edges = np.append(begin[first[i] : first[i + 1]], offsets[i + 1])
-                    edges[0] = offsets[i]
-                    keep = np.repeat(~drop, np.diff(edges))
-                    out.append(data[offsets[i] : offsets[i + 1]][keep].tobytes().decode())
-                    gone.append(int(drop.sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(out, pa.string()), *batch.columns[at + 1 : len(names)], pa.array(n_units, pa.int64()), pa.array(gone, pa.int64())], names=[*(f"c{k}" for k in range(len(names))), "n_units", "n_removed"])
+                gone = np.zeros(hi - lo, np.int64)
+                rows = np.flatnonzero(np.asarray(marked.is_valid()))
+                if len(rows):
+                    keep = np.ones(len(data), bool)
+                    for i in rows.tolist():
+                        n = int(first[i + 1] - first[i])
+                        depth = np.zeros(n + 1, np.int64)
+                        place = np.asarray(marked[i].values)
+                        np.add.at(depth, place // PACK, 1)
+                        np.add.at(depth, place // PACK + place % PACK, -1)
+                        drop = np.cumsum(depth)[:n] > 0
+                        edges = np.append(begin[first[i] : first[i + 1]], offsets[i + 1])
+                        edges[0] = offsets[i]
+                        keep[offsets[i] : offsets[i + 1]] = np.repeat(~drop, np.diff(edges))
+                        gone[i] = drop.sum()
+                    left = np.concatenate(([0], np.cumsum(keep)))[offsets].astype(np.int32)
+                    valid = texts.is_valid()
+                    texts = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(left), pa.py_buffer(data[keep]))
+                    texts = pc.if_else(valid, texts, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], texts, *part.columns[at + 1 : len(names)], pa.array(np.diff(first), pa.int64()), pa.array(gone)], names=[*(f"c{k}" for k in range(len(names))), "n_units", "n_removed"])
 
     fields = ", ".join(f"c{k} {'string' if k == at else f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
     done = joined.mapInArrow(run, f"{fields}, n_units long, n_removed long")
