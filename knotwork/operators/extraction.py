@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from knotwork.functions.text import text_parts, unfenced
 from knotwork.plans.schema import FIELDS, TURKISH
@@ -35,7 +36,7 @@ def ask(rows: DataFrame, model: Callable[[list[str]], list[str | None]], column:
         for b in batches:
             yield b.assign(**{answer: model(b[column].tolist())})
 
-    return rows.mapInPandas(run, rows.schema.add(answer, "string"))
+    return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(answer, StringType())]))
 
 
 def parse_answers(rows: DataFrame, column: str = "answer", text: str | None = None) -> DataFrame:
