@@ -266,7 +266,7 @@ def test_wikidata(spark):
 
 
 def test_extraction(spark):
-    df = spark.createDataFrame([(1, "bir | | iki")], "id long, text string")
+    df = spark.createDataFrame([(1, "bir |  | iki")], "id long, text string")
     asked = extraction.ask(extraction.parts(df).withColumn("prompt", extraction.prompt(F.col("text"), "s", [{"baş": "x"}] * 5, F.lit(2))), lambda ps: ['```json\n[{"baş":"h","ilişki":"r","uç":"t"}]\n```' if "iki" in p else "?" for p in ps])
     assert asked.first().prompt.count('"baş"') == 3 and "Tam 2 " in asked.first().prompt
     t = extraction.parse_answers(asked, text="text")
