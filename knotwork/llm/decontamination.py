@@ -109,18 +109,19 @@ class Segment:
         return live[window], start
 
     def near(self, numbers: np.ndarray, slop: int) -> np.ndarray:
-        """Places of the rarest of the terms that have each of the other terms within slop words, in the same text."""
+        """Places of the first of the terms that have each of the other terms within slop words, in the same text; the rarest of the others rule out first."""
         counts = self.counts(numbers)
         if not len(numbers) or counts.min() == 0:
             return np.zeros(0, np.int64)
-        order = np.argsort(counts, kind="stable")
-        lists = [self.positions[self.term_offsets[t] : self.term_offsets[t + 1]] for t in numbers[order]]
-        place = lists[0]
-        for other in lists[1:]:
+        spans = [self.positions[self.term_offsets[t] : self.term_offsets[t + 1]] for t in numbers]
+        place = spans[0]
+        for k in np.argsort(counts[1:], kind="stable") + 1:
+            if numbers[k] == numbers[0]:
+                continue
             doc = self.documents(place)
             low = np.maximum(place - slop, self.word_offsets[doc])
             high = np.minimum(place + slop, self.word_offsets[doc + 1] - 1)
-            place = place[np.searchsorted(other, low) < np.searchsorted(other, high, "right")]
+            place = place[np.searchsorted(spans[k], low) < np.searchsorted(spans[k], high, "right")]
         return place
 
 
@@ -243,7 +244,7 @@ def digest(hits: DataFrame, least: int = 20) -> DataFrame:
 
 
 def find_phrases(index: DataFrame, phrases: list[str], slop: int | None = None) -> DataFrame:
-    """(doc_id, phrase number, word position) of each exact match, or, with slop, of each place with all words of the phrase within slop words of its rarest word.
+    """(doc_id, phrase number, word position) of each exact match, or, with slop, of each place of the phrase's first word with all its other words within slop words.
 
     phrases is a stated query set, of bounded size; a phrase without words matches nothing.
     """
@@ -257,7 +258,7 @@ def find_phrases(index: DataFrame, phrases: list[str], slop: int | None = None)
                     if not len(terms):
                         continue
                     numbers = seg.look_up(terms)
-                    at = seg.phrases(numbers[None, :], np.array([len(terms)]))[1] if slop is None else seg.near(np.unique(numbers), slop)
+                    at = seg.phrases(numbers[None, :], np.array([len(terms)]))[1] if slop is None else seg.near(numbers, slop)
                     d = seg.documents(at)
                     yield pa.RecordBatch.from_arrays([pa.array(seg.doc_ids[d]), pa.array([k] * len(at), pa.int32()), pa.array(at - seg.word_offsets[d], pa.int64())], names=["doc_id", "phrase", "position"])
 

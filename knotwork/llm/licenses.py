@@ -76,7 +76,7 @@ RULES: dict[str, tuple[tuple[str, ...], ...]] = {
 }
 
 _TRIGGER = re.compile("|".join(TRIGGERS), re.I)
-_CUT = re.compile(r"\n+|(?<=[.!?:;])[ \t]+")
+_CUT = re.compile(r"\n+|(?<=[.!?])[ \t]+")
 _LEADER = re.compile(r"^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--|-->|REM\b|dnl\b)[ \t]*", re.M)
 _OTHER = re.compile(r"[^a-z0-9.]+")
 _DOTS = re.compile(r"\.(?![a-z0-9])|(?<![a-z0-9])\.")

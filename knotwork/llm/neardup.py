@@ -256,5 +256,5 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if more.limit(1).count():
             labels = components(links.union(more))
     store.drop(spark, *paths)
-    out = members.join(labels.toDF("rep", "component"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    out = members.join(labels.toDF("rep", "component"), "rep", "left").select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(component, rep, doc_id))").alias("component_id"))
     return out.withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))
