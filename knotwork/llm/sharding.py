@@ -1,12 +1,12 @@
 """Sharding by balanced label propagation.
 
-Documents that share a group (here: equal texts) are linked. They start in shards by hash; in each round every group names the shard that holds
-most of its members, and members elsewhere want to move there. Wishes are counted by shard and by hash bucket, and each shard admits
-buckets up to its quota, so sizes stay even while links that are cut become fewer. At the end counts are made exactly even (at most one
-apart): shards above their quota give up documents without links first, then by hash.
+Documents that share a group (here: equal texts) are linked. They start in shards by hash. In the first round every group names the shard that holds
+most of its members, and members elsewhere want to move there; in later rounds groups that are still torn name a shard by hash, in proportion to the room left. Wishes are
+counted by shard and by the groups' hash bucket, and each shard admits buckets up to its quota, so sizes stay even while links that are cut
+become fewer. At the end counts are made exactly even (at most one apart): shards above their quota give up documents without links first, then whole groups.
 
 Only tables of shards x buckets come to the driver; no group and no shard is ever gathered in one task. A group larger
-than a shard's capacity is spread over several. Null texts are linked with nothing, a null doc_id is a document like any other,
+than half a shard is split into such as fit. Null texts are linked with nothing, a null doc_id is a document like any other,
 repeated rows count each. Extra columns are ignored.
 """
 
@@ -39,71 +39,54 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
         F.when(t.isNotNull(), F.sha2(t.cast("binary"), 256)).alias("g"),
     )
     base, base_path = store.keep(base.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    groups = base.where("g is not null").groupBy("g").agg(F.count("*").alias("members")).where("members > 1")
-    linked = base.select("row", "g").join(groups, "g").withColumn("bucket", F.expr(f"cast(pmod(xxhash64(row, 7), {buckets}) as int)")).withColumn("group_bucket", F.expr(f"cast(pmod(xxhash64(g), {buckets}) as int)"))
     total = base.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
+    half = max(2, total // shards // 2)
+    groups = base.where("g is not null").groupBy("g").agg(F.count("*").alias("members")).where("members > 1").withColumn("parts", F.ceil(F.col("members") / half))
     home = F.expr(f"cast(pmod(xxhash64(row, 11), {shards}) as int)")
-    state, path = store.keep(linked.withColumn("shard", home), "labels")
-    alone = base.join(groups, "g", "left_anti").select("row", F.lit(None).cast("string").alias("g"), home.alias("shard"))
-
-    for _ in range(rounds):
-        # members by group and shard, counted before the shuffle; the group's shard is where most are, then the least number
-        counted = state.groupBy("g", "shard").agg(F.count("*").alias("n"))
-        named = counted.groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best")).select("g", (-F.col("best.minus")).cast("int").alias("target"))
-        wishes = state.join(named, "g")
-        held = {r.shard: r.n for r in wishes.where("shard = target").groupBy("shard").agg(F.count("*").alias("n")).collect()}
-        asked = wishes.where("shard <> target").groupBy("target", "group_bucket", "bucket").agg(F.count("*").alias("n"))
-        # whole groups first (by the group's bucket); a bucket of groups that doesn't fit is taken by its rows' buckets
-        by_group: dict[tuple[int, int], int] = {}
-        for r in asked.groupBy("target", "group_bucket").agg(F.sum("n").alias("n")).collect():
-            by_group[r.target, r.group_bucket] = r.n
+    alone = base.join(groups, "g", "left_anti").select("row", F.lit(None).cast("long").alias("g"), F.lit(False).alias("wide"), home.alias("shard"))
+    # what is larger than half a shard goes on as several groups; the rows of very large ones are never numbered together
+    wide = F.expr(f"members > {max(64, total // (8 * shards))}").alias("wide")
+    linked = base.join(groups, "g").select("row", F.expr("xxhash64(g, pmod(xxhash64(row, 5), parts))").alias("g"), wide, home.alias("shard"))
+    state, path = store.keep(linked, "labels")
+
+    for k in range(rounds):
+        # members by group and shard, counted before the shuffle
+        counts, counts_path = store.keep(state.groupBy("g", "shard").agg(F.count("*").alias("n")).groupBy("g").agg(F.sum("n").alias("members"), F.count("*").alias("places"), F.max(F.struct("n", (-F.col("shard")).alias("minus"))).alias("best")), "groups")
+        held = {r.shard: r.n for r in counts.where("places = 1").groupBy((-F.col("best.minus")).alias("shard")).agg(F.sum("members").alias("n")).collect()}
+        room = [max(0, quota[s] - held.get(s, 0)) for s in range(shards)]
+        if k == 0:
+            target = -F.col("best.minus")  # where most neighbours are, then the least number
+        else:
+            ends = [sum(room[: s + 1]) / max(1, sum(room)) for s in range(shards - 1)]
+            target = F.expr(f"size(filter(array({', '.join(f'{e}D' for e in ends) or '1D'}), x -> x <= pmod(xxhash64(g, {k}), 1000000) / 1000000D))")
+        torn = counts.where("places > 1").select("g", "members", target.cast("int").alias("target"), F.expr(f"cast(pmod(xxhash64(g, 13), {buckets}) as int)").alias("bucket"))
+        asked = torn.groupBy("target", "bucket").agg(F.sum("members").alias("n")).collect()  # shards x buckets at most
         admitted: dict[tuple, int] = {}
-        room: dict[int, int] = {}
-        partial: list[tuple[int, int]] = []
-        for target in range(shards):
-            left = quota[target] - held.get(target, 0)
-            for (_, bucket), n in sorted((x for x in by_group.items() if x[0][0] == target), key=lambda x: (x[1], x[0])):
-                if n <= left:
-                    admitted[target, bucket] = buckets
-                    left -= n
-                else:
-                    partial.append((target, bucket))
-            room[target] = left
-        if partial:
-            chosen = _look_up(asked, dict.fromkeys(partial, 1), ["target", "group_bucket"], "chosen").where("chosen = 1")
-            rows = chosen.groupBy("target", "group_bucket", "bucket").agg(F.sum("n").alias("n")).collect()
-            fine: dict[tuple[int, int], dict[int, int]] = {}
-            for r in rows:
-                fine.setdefault((r.target, r.group_bucket), {})[r.bucket] = r.n
-            for key in partial:
-                upto = 0
-                for b in range(buckets):
-                    n = fine[key].get(b, 0)
-                    if n > room[key[0]]:
-                        break
-                    room[key[0]] -= n
-                    upto = b + 1
-                if upto:
-                    admitted[key] = upto
-        wishes = _look_up(wishes, admitted, ["target", "group_bucket"], "upto")
-        moves = F.expr("shard <> target and bucket < coalesce(upto, 0)")
-        new, new_path = store.keep(wishes.select("row", "g", "members", "bucket", "group_bucket", F.when(moves, F.col("target")).otherwise(F.col("shard")).alias("shard"), moves.alias("moved")), "labels")
-        moved = new.where("moved").limit(1).count()
-        store.drop(spark, path)
-        state, path = new.drop("moved"), new_path
-        if not moved:
+        for r in sorted(asked, key=lambda r: (r.n, r.target, r.bucket)):
+            if r.n <= room[r.target]:
+                room[r.target] -= r.n
+                admitted[r.target, r.bucket] = 1
+        if not admitted:
+            store.drop(spark, counts_path)
+            if k == 0 and asked:
+                continue
             break
+        going = _look_up(torn, admitted, ["target", "bucket"], "ok").where("ok = 1").select("g", "target")
+        new, new_path = store.keep(state.join(going, "g", "left").select("row", "g", "wide", F.coalesce("target", "shard").alias("shard")), "labels")
+        store.drop(spark, path, counts_path)
+        state, path = new, new_path
 
-    placed = alone.unionByName(state.select("row", "g", "shard"))
+    placed = alone.unionByName(state)
     placed, placed_path = store.keep(_even_out(placed, quota, buckets), "placed")
-    out = _slots(base.join(placed, "row"), buckets)
+    store.drop(spark, path)
+    out = _ranked(base.join(placed, "row"), ["shard"], buckets).withColumnRenamed("rank", "slot")
     return out.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def _ranked(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """df with "rank": 0, 1, ... among the rows that have equal keys; counted by hash bucket, so no group of keys is in one task."""
-    df = df.withColumn("b", F.expr(f"cast(pmod(xxhash64(row, 3), {buckets}) as int)"))
+def _ranked(df: DataFrame, keys: list[str], buckets: int, by: str = "row") -> DataFrame:
+    """df with "rank": 0, 1, ... among the rows that have equal keys; counted by hash bucket, so no group of keys is in one task. Rows with one value of `by` follow each other."""
+    df = df.withColumn("b", F.expr(f"cast(pmod(xxhash64({by}, 3), {buckets}) as int)"))
     counts = sorted(((tuple(r[k] for k in keys), r.b, r.n) for r in df.groupBy(*keys, "b").agg(F.count("*").alias("n")).collect()))
     before: dict[tuple, int] = {}
     last, run = None, 0
@@ -111,13 +94,13 @@ def _ranked(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
         run = 0 if key != last else run
         before[(*key, b)] = run
         last, run = key, run + n
-    inside = F.row_number().over(W.partitionBy(*keys, "b").orderBy("row")) - 1
+    inside = F.row_number().over(W.partitionBy(*keys, "b").orderBy(by, "row")) - 1
     return _look_up(df.withColumn("inside", inside), before, [*keys, "b"], "before").withColumn("rank", F.col("before") + F.col("inside")).drop("b", "inside", "before")
 
 
 def _even_out(placed: DataFrame, quota: list[int], buckets: int) -> DataFrame:
-    """(row, shard) with exactly quota[s] rows in shard s; rows without links move first."""
-    kinds = placed.withColumn("tied", F.col("g").isNotNull().cast("int"))
+    """(row, shard) with exactly quota[s] rows in shard s; rows without links move first, then group by group."""
+    kinds = placed.withColumn("tied", F.col("g").isNotNull().cast("int")).withColumn("block", F.expr("if(g is null or wide, xxhash64(row), g)"))
     counts = {(r.shard, r.tied): r.n for r in kinds.groupBy("shard", "tied").agg(F.count("*").alias("n")).collect()}
     surplus = [counts.get((s, 0), 0) + counts.get((s, 1), 0) - q for s, q in enumerate(quota)]
     give = {}
@@ -125,7 +108,7 @@ def _even_out(placed: DataFrame, quota: list[int], buckets: int) -> DataFrame:
         loose = counts.get((s, 0), 0)
         if over > 0:
             give[s, 0], give[s, 1] = min(over, loose), max(0, over - loose)
-    ranked = _ranked(kinds.select("row", "shard", "tied"), ["shard", "tied"], buckets)
+    ranked = _ranked(kinds.select("row", "shard", "tied", "block"), ["shard", "tied"], buckets, "block")
     start = dict(zip(give, accumulate([0, *give.values()]), strict=False))
     ranked = _look_up(_look_up(ranked, give, ["shard", "tied"], "give"), start, ["shard", "tied"], "start")
     going, number = F.expr("rank < coalesce(give, 0)"), F.expr("start + rank")
@@ -134,7 +117,3 @@ def _even_out(placed: DataFrame, quota: list[int], buckets: int) -> DataFrame:
     for (s, _), upto in reversed(list(zip(takers, accumulate(n for _, n in takers), strict=True))):
         to = F.when(number < upto, F.lit(s)).otherwise(to)
     return ranked.select("row", F.when(going, to).otherwise(F.col("shard")).cast("int").alias("shard"))
-
-
-def _slots(df: DataFrame, buckets: int) -> DataFrame:
-    return _ranked(df, ["shard"], buckets).withColumnRenamed("rank", "slot")
