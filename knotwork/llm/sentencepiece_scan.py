@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.llm import store
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters are giant; CHUNK must exceed the longest piece.
 GIANT, CHUNK = 1 << 16, 1 << 14
@@ -349,17 +351,16 @@ def encode(docs: DataFrame, text: str = "text", *more: Column, model: str = MODE
                 ids = m.numbers(trace(m, r["piece"], r["base"], entry, (r["la"], r["lb"]), r["b"]))
                 yield pa.RecordBatch.from_arrays([pa.array([r["doc"]]), pa.array([r["k"]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["doc", "k", "part"])
 
-    from knotwork.llm import store
-
     giants, _ = store.keep(given.where(size > giant).withColumn("doc", F.monotonically_increasing_id()), "giants")
     if not giants.limit(1).count():
         return common.toDF(*names, "ids", "n_tokens", "round_trip")
     # many small tasks: a giant's chunks are spread over the cluster
     spread = giants.select("doc", "text").mapInArrow(cut, "doc long, k long, base long, a long, b long, stop long, piece string")
-    pieces, _ = store.keep(spread.repartition("doc", "k"), "chunks")
-    matrices = pieces.repartition("doc", "k").mapInArrow(matrix, "doc long, k long, stop long, cells array<double>")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, or small chunks are put together in few tasks
+    pieces, _ = store.keep(spread, "chunks")
+    matrices = pieces.repartition(tasks, "doc", "k").mapInArrow(matrix, "doc long, k long, stop long, cells array<double>")
     chosen = matrices.groupBy("doc").applyInArrow(ways, "doc long, k long, ea long, eb long, la long, lb long")
-    traced = pieces.join(chosen, ["doc", "k"]).mapInArrow(back, "doc long, k long, part array<int>")
+    traced = pieces.join(chosen, ["doc", "k"]).repartition(tasks, "doc", "k").mapInArrow(back, "doc long, k long, part array<int>")
     joined = traced.groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])).alias("ids"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
