@@ -25,7 +25,7 @@ from knotwork.llm import store
 
 PIVOTS, LENGTH = 128, 64
 #: Vectors of a segment at most; the share of a segment's vectors that is ranked exactly, and the least number.
-SEGMENT, SHARE, LEAST = 4096, 0.15, 512
+SEGMENT, SHARE, LEAST = 4096, 0.2, 1024
 #: Queries of a block at most.
 BLOCK = 2048
 
