@@ -1,43 +1,5 @@
 """Tables that cut lineage, kept in the folder that the cluster shares."""
 
-from __future__ import annotations
+from knotwork.plans.lineage import drop, keep, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="knotwork-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def keep(df: DataFrame, name: str, codec: str = "zstd", min_partitions: int = 0) -> tuple[DataFrame, str]:
-    """Write df as Parquet under the shared folder; give it reread, and its path for drop().
-
-    What is left is deleted when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/knotwork/{name}-{uuid.uuid4().hex}"
-    p, fs = _path(spark, path)
-    fs.deleteOnExit(p)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete tables that keep() wrote and that nothing reads any more."""
-    for path in paths:
-        p, fs = _path(spark, path)
-        fs.delete(p, True)
+__all__ = ["drop", "keep", "shared_dir"]
