@@ -10,6 +10,8 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
 
+from knotwork.functions.text import markup
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _OPAQUE = {"script", "style"}
@@ -97,7 +99,7 @@ def parse(html: str | None) -> Node:
 def link(node: Node, base: str) -> str | None:
     """A mention's markup for an anchor that has both text and target."""
     name, href = node.text().strip(), node.attrs.get("href")
-    return f"<PossibleEntity>{name}</PossibleEntity> <URL>:({urljoin(base, href)})</URL>" if name and href else None
+    return markup(name, f"({urljoin(base, href)})") if name and href else None
 
 
 def _pieces(node: Node, base: str) -> list[str]:

@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType
 
+from knotwork.functions.text import markup
+
 _LETTERS = "a-zA-ZçğıöşüÇĞİÖŞÜ"
-_BLOCK = re.compile(r"<PossibleEntity>.*?</PossibleEntity> <URL>:\(.*?\)</URL>")
+_BLOCK = re.compile(markup(".*?", r"\(.*?\)"))
 # The letter that follows is taken along, so of two neighbours in "A. B. C" only the first is held back.
 _NUMBER_DOT = re.compile(rf"(\d+)\.(\s*[{_LETTERS}])")
 _SHORT_DOT = re.compile(rf"\b([{_LETTERS}]{{1,4}})\.(\s*[{_LETTERS}])")

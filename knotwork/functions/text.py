@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 from knotwork.plans.schema import JOINER
 
 #: Mention markup: what writes it, and an older dialect.
-MENTION = r"<PossibleEntity>(.*?)</PossibleEntity> <URL>:(.*?)</URL>"
+ENTITY, LINK = "PossibleEntity", "URL"
+
+
+def markup(name: str, url: str) -> str:
+    """A mention in the markup; as a pattern, if its parts are patterns."""
+    return f"<{ENTITY}>{name}</{ENTITY}> <{LINK}>:{url}</{LINK}>"
+
+
+MENTION = markup("(.*?)", "(.*?)")
 LEGACY = r"___E:(.*?) U:\((https?://[^)]+)\)___"
 TITLE_SUFFIX, NO_TITLE = " - Vikipedi", "Başlık Bulunamadı"
 
@@ -43,7 +51,7 @@ def clean_entity(c: Column) -> Column:
 
 def markup_to_entity(c: Column) -> Column:
     """Sentences with each mention as its entity alone."""
-    return squeeze(F.regexp_replace(c, r"<PossibleEntity>\s*(.*?)\s*</PossibleEntity> <URL>:(.*?)</URL>", "$1"))
+    return squeeze(F.regexp_replace(c, markup(r"\s*(.*?)\s*", "(.*?)"), "$1"))
 
 
 def without_markup(c: Column) -> Column:
