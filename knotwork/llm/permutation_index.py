@@ -26,8 +26,8 @@ from knotwork.llm import store
 PIVOTS, LENGTH = 128, 64
 #: Vectors of a segment at most; the share of a segment's vectors that is ranked exactly, and the least number.
 SEGMENT, SHARE, LEAST = 4096, 0.2, 1024
-#: Queries of a block at most.
-BLOCK = 2048
+#: Queries of a block at most; blocks of one plan.
+BLOCK, MANY = 2048, 16
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -121,6 +121,11 @@ def neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str
     found, rows = [], []
 
     def block() -> None:
+        if len(found) == MANY:  # so many queries: write what was found so far, or the plan grows with them
+            done = found[0]
+            for f in found[1:]:
+                done = done.unionByName(f)
+            found[:] = [store.keep(done, "found")[0]]
         found.append(search(index, np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows]), points, k, length, **settings))
         rows.clear()
 

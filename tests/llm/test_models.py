@@ -196,3 +196,12 @@ def test_neighbours(spark):
     assert hit >= 0.9 * 10 * len(queries)
     assert [r.vec_id for r in sorted((r for r in out if r.query_id == 5), key=lambda r: r.rank)] == list(range(3000, 3010))
     assert permutation_index.neighbours(df.limit(0), df).count() == 0
+
+
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    df = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(60)], "vec_id long, embedding array<float>")
+    once = {tuple(r) for r in permutation_index.neighbours(df, df, 3).collect()}
+    monkeypatch.setattr(permutation_index, "BLOCK", 7)
+    monkeypatch.setattr(permutation_index, "MANY", 2)
+    assert {tuple(r) for r in permutation_index.neighbours(df, df, 3).collect()} == once
