@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,15 @@ def prompt(text: Column, system: str, examples: list[dict[str, str]], frequency:
     return F.concat(F.lit(head), wanted, F.lit("\nMetin:\n"), text, F.lit("\n\nYanıt yalnız bir JSON listesi olsun.\n"))
 
 
+def load_examples(file: str) -> tuple[str, list[dict[str, str]]]:
+    """(system prompt, examples) from a JSON file {"system": ..., "examples": [...]}: data, nothing in it is run. A missing or malformed file gives neither."""
+    try:
+        doc = json.loads(Path(file).read_text(encoding="utf-8"))
+        return str(doc["system"]), list(doc["examples"])
+    except (OSError, ValueError, KeyError, TypeError):
+        return "", []
+
+
 def parts(rows: DataFrame, column: str = "text") -> DataFrame:
     """A row for each part of a joined text, other columns carried along."""
     return rows.select("*", F.explode(text_parts(F.col(column))).alias("part")).drop(column).withColumnRenamed("part", column)

@@ -80,6 +80,12 @@ def new(triples: DataFrame, merged: DataFrame) -> DataFrame:
     return entities(merged).subtract(entities(triples))
 
 
+def first_entities(found: DataFrame, n: int = 20) -> DataFrame:
+    """One row: how many entities there are, and the first n of them."""
+    head = found.orderBy("entity").limit(n).agg(F.array_sort(F.collect_list("entity")).alias("entities"))
+    return found.agg(F.count("*").alias("n")).join(head)
+
+
 def typed_relations(relations: DataFrame, types: DataFrame) -> DataFrame:
     """Merged relations with the joined types of both ends; empty where an entity has none. types has one row an entity."""
     named = types.select("entity", join_values(F.col("entity_type")).alias("t"))

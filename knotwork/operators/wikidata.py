@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,10 @@ def entity_claims(claims: DataFrame, props: DataFrame, labels: DataFrame, entity
     return out.select("prop_label", F.col("target").alias("value"), "value_label").orderBy("prop_label", "value")
 
 
-def typed_triples(claims: DataFrame, props: DataFrame, labels: DataFrame, types: DataFrame) -> DataFrame:
-    """Triples between entities: a row for each pair of a source's and a target's type, or with no type; nothing is made distinct."""
+def typed_triples(claims: DataFrame, props: DataFrame, labels: DataFrame, types: DataFrame, entity: str | None = None) -> DataFrame:
+    """Triples between entities: a row for each pair of a source's and a target's type, or with no type; nothing is made distinct. Those of one entity come in order."""
+    if entity is not None:
+        return typed_triples(claims.where(F.col("subject") == entity), props, labels, types).orderBy("relation", "tail", "head_type", "tail_type")
     best = best_labels(labels)
     named = with_label(types, best, "type", "type_label").select("id", "type_label")
     links = claims.where(is_entity_uri(F.col("target"))).withColumn("object", last_segment(F.col("target"))).join(props, "p").select("subject", "prop", "object")
@@ -58,6 +63,18 @@ def descriptions(labels: DataFrame, texts: DataFrame) -> DataFrame:
     return ids.join(best_labels(labels), "id", "left").join(said, "id", "left").select("id", label_or(F.col("id"), F.col("label")).alias("label_tr"), label_or(F.lit("No description available."), F.col("d")).alias("description_tr"))
 
 
+def fetch_entities(batches: DataFrame, fetcher: Callable[[list[str]], dict[str, str] | None]) -> DataFrame:
+    """(id, json) for batches(batch, ids) by any function from ids to a document each, called where the data is; a failed batch (None) is left out, and of one id's documents the last batch's stays."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            rows = [(b, i, doc) for b, ids in zip(p["batch"], p["ids"], strict=True) for i, doc in (fetcher(list(ids)) or {}).items()]
+            yield pd.DataFrame(rows, columns=["batch", "id", "json"])
+
+    found = batches.select("batch", "ids").mapInPandas(run, "batch long, id string, json string")
+    return found.groupBy("id").agg(F.max_by("json", "batch").alias("json"))
+
+
 def parse_bindings(answers: DataFrame, column: str = "json", entity: str = "") -> DataFrame:
     """Triples of query answers in JSON; a variable that is missing gets its default."""
     rows = answers.select(F.explode(F.from_json(column, BINDINGS)["results"]["bindings"]).alias("b"))

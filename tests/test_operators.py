@@ -11,7 +11,7 @@ from knotwork.functions import text as T
 from knotwork.functions.html import infobox, paragraphs
 from knotwork.functions.sentences import split_sentences
 from knotwork.functions.similarity import common_length, ratio
-from knotwork.operators import extraction, frequency, fuzzy, graph, merge, quality, sets, statistics, wikidata
+from knotwork.operators import crawl, extraction, frequency, fuzzy, graph, merge, quality, sets, statistics, wikidata
 from knotwork.plans.ranking import with_rank
 from knotwork.plans.schema import TRIPLE, quarantine, require_keys
 from knotwork.sources import readers, sinks
@@ -306,3 +306,36 @@ def test_sources_and_sinks(spark, tmp_path, triples):
     sinks.write_ids(spark.createDataFrame([("Q2",), ("Q1",), ("Q2",)], "id string"), str(tmp_path / "out"))
     assert rows(spark.read.text(str(tmp_path / "out")), "value") == [("Q1",), ("Q2",)]
     assert sinks.fetch_pages(spark.createDataFrame([("u",)], "url string"), lambda u: None).first().html is None
+
+
+def test_crawl(spark):
+    page = lambda title, *to: f'<title>{title}</title><div id="mw-content-text"><p>Bir ilk tümce. {"".join(f"<a href={t!r}>n{t}</a> " for t in to)}</p><p>Bitti burada.</p></div><table class="vcard"><tr><th>k</th><td>v</td></tr></table>'
+    pages = spark.createDataFrame([("https://w.org/a", page("A", "/b", "https://other.org/x")), ("https://w.org/b", page("B", "/c", "/a")), ("https://w.org/c", None), ("https://w.org/d", page("D", "/a"))], "url string, html string")
+    got = crawl.crawl(pages, "https://w.org/a", 5, "https://w.org")
+    assert dict(rows(got.depths, "url", "depth")) == {"https://w.org/a": 0, "https://w.org/b": 1, "https://w.org/c": 2}
+    assert {r.url for r in got.mentions.where("title = 'A'").collect()} == {"https://w.org/b", "https://other.org/x"}
+    assert rows(got.sentences.where("title = 'B'"), "sent_id")[-1] == ("BCard#1",) and got.sentences.where("title = 'D'").count() == 0
+    assert rows(got.sentences.where("title = 'B'"), "sentence")[0] == ("Bir ilk tümce. <PossibleEntity>n/c</PossibleEntity> <URL>:(https://w.org/c)</URL> <PossibleEntity>n/a</PossibleEntity> <URL>:(https://w.org/a)</URL>",)
+
+
+def test_fetch_and_examples(spark, tmp_path):
+    b = spark.createDataFrame([(0, ["Q1", "Q2"]), (1, ["Q2"]), (2, ["Q9"])], "batch long, ids array<string>")
+    got = wikidata.fetch_entities(b, lambda ids: None if "Q9" in ids else {i: f"{i}/{len(ids)}" for i in ids})
+    assert rows(got, "id", "json") == [("Q1", "Q1/2"), ("Q2", "Q2/1")]
+    (tmp_path / "e.json").write_text('{"system": "s", "examples": [{"baş": "x"}]}')
+    assert extraction.load_examples(str(tmp_path / "e.json")) == ("s", [{"baş": "x"}])
+    assert extraction.load_examples(str(tmp_path / "no.json")) == ("", [])
+
+
+def test_first_entities(spark):
+    found = spark.createDataFrame([(c,) for c in "cab"], "entity string")
+    assert quality.first_entities(found, 2).first().asDict() == {"n": 3, "entities": ["a", "b"]}
+
+
+def test_stream_windows(spark, tmp_path):
+    df = spark.createDataFrame([("r", "2024-01-01 10:00:00"), ("r", "2024-01-01 11:00:00"), ("s", "2024-01-03 00:00:00")], "relation string, t string").withColumn("t", F.to_timestamp("t"))
+    df.write.parquet(str(tmp_path / "in"))
+    counts = stream.relation_counts(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "t")
+    q = counts.writeStream.format("memory").queryName("w").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert rows(spark.table("w"), "relation", "n") == [("r", 2), ("s", 1)]
