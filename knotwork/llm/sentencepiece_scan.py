@@ -44,6 +44,8 @@ class Model:
                 p = self.sp.id_to_piece(i)
                 self.ids[p], self.score[p] = i, self.sp.get_score(i)
         self.longest = max(map(len, self.ids))
+        #: what some piece begins with
+        self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.merges = self._is_merge_model()
         self.unknown = min(self.score.values()) - 10
         self._fits: dict[tuple[str, str], bool] = {}
@@ -119,6 +121,8 @@ class Model:
         out = [text[at]]
         for n in range(2, min(self.longest, len(text) - at) + 1):
             p = text[at : at + n]
+            if p not in self.beginnings:
+                break
             if p in self.ids and (not self.merges or self.is_whole(p)):
                 out.append(p)
         return out
@@ -360,7 +364,8 @@ def encode(docs: DataFrame, text: str = "text", *more: Column, model: str = MODE
     pieces, _ = store.keep(spread, "chunks")
     matrices = pieces.repartition(tasks, "doc", "k").mapInArrow(matrix, "doc long, k long, stop long, cells array<double>")
     chosen = matrices.groupBy("doc").applyInArrow(ways, "doc long, k long, ea long, eb long, la long, lb long")
-    traced = pieces.join(chosen, ["doc", "k"]).repartition(tasks, "doc", "k").mapInArrow(back, "doc long, k long, part array<int>")
+    # by another hash than the join's, or the few partitions that it is put together in stay
+    traced = pieces.join(chosen, ["doc", "k"]).repartition(tasks, F.xxhash64("doc", "k")).mapInArrow(back, "doc long, k long, part array<int>")
     joined = traced.groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])).alias("ids"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
