@@ -6,8 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from knotwork.llm import queries
+from knotwork.llm import decontamination, licenses, linededup, neardup, quality, queries, sentencepiece_scan
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +46,34 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_take_odd_rows(spark):
+    prose = " ".join(f"Bu {k} ayrı tümce burada sözlerle durur." for k in range(12))
+    rows = [(1, None, "en", None, None, False, 5), (2, "", None, "s", 0, True, 5), (3, prose, "tr", "s", 7, False, 5), (3, prose, "tr", "s", 7, False, 5), (None, prose.replace("ayrı", "başka"), None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keep boolean, n_removed long")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.dtypes == docs.dtypes
+        assert {3} <= {r.doc_id for r in out.collect()}
+    assert {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs, SF).collect()} == {3, None}
+    assert corpus_pipeline.near_dedup(spark, docs, SF).count() == 5
+    assert corpus_pipeline.tokenise(spark, docs, SF).where("round_trip").count() == 4
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"söz{k % 9973} var{k % 7919}." for k in range(120_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " ek"), (3, "Kısa bir metin. MIT License"), (4, long[:200_000].replace(" ", ""))], "doc_id long, text string")
+    near = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
+    gone = {r.doc_id: (r.n_removed, len(r.text)) for r in linededup.dedup(docs).collect()}
+    assert gone[1] == (0, len(long)) and gone[2][1] < 100 and gone[3] == (0, 27)
+    item = spark.createDataFrame([(9, " ".join(long.split()[200_000:200_030]))], "item_id long, text string")
+    hits = {r.doc_id: r.n_hit for r in decontamination.digest(decontamination.contamination(docs, item)).collect()}
+    assert hits[1] == hits[2] >= 30 and hits[3] == hits[4] == 0
+    assert {r.doc_id for r in quality.classify(docs).collect()} == {1, 2, 3, 4}
+    assert [len(r.sentences) for r in licenses.scan(docs, "text", F.col("doc_id")).orderBy("doc_id").collect()] == [0, 0, 1, 0]
+    tokens = sentencepiece_scan.encode(docs.where("doc_id in (3, 4)"), "text", F.col("doc_id")).collect()
+    assert all(r.round_trip for r in tokens)
+    model = sentencepiece_scan.load(sentencepiece_scan.MODEL)
+    assert {r.doc_id: r.ids for r in tokens}[4] == model.sp.encode(long[:200_000].replace(" ", ""))
