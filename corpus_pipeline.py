@@ -12,18 +12,21 @@ from knotwork.llm import decontamination, linededup, neardup, quality, sentencep
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the scorer keeps."""
-    return quality.classify(docs).where("keep").select(*docs.columns)
+    """The documents that the scorer keeps; a null text, or one without words, goes."""
+    scored = quality.classify(docs)
+    return scored.where(F.col(scored.columns[-1])).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occurred before; those of which nothing is left go."""
-    done = linededup.dedup(docs).where("n_removed = 0 or n_removed < n_units")
+    """Documents without the passages that occurred before; those of which nothing is left go, those that had no words from the start stay."""
+    done = linededup.dedup(docs)
+    units, removed = (F.col(c) for c in done.columns[-2:])
+    done = done.where((removed == 0) | (removed < units))
     return done.select(*(F.char_length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates by shingles of five words."""
+    """One document of each group of near-duplicates by shingles of five words: that with the smallest doc_id. Null ids and texts without words stay."""
     gone = neardup.near_duplicates(docs, n=5, percent=80).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
