@@ -5,7 +5,7 @@ Overlapping heuristic labellers vote good, bad or nothing on every document. Doc
 bad documents. The posterior of a document's pattern is its soft label. A hashed linear scorer - logistic, on the relative frequencies of hashed byte-class
 n-grams and of some hashed measures of the text - is trained on the soft labels of a sample of about SAMPLE documents, and scores every whole text.
 
-A document is kept if its score is at least 0.5. A null text, or one without any word, is empty: score 0, not kept. Repeated rows
+A document is kept if its score is at least 0.5, or if no labeller votes on it (a few words with numbers, say), as then nothing speaks against it. A null text, or one without any word, is empty: score 0, not kept. Repeated rows
 are scored each. An empty table gives no rows. Extra columns are passed by. Only a model of fixed size is broadcast.
 """
 
@@ -263,7 +263,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
                 bad = np.where(p >= 0, label_model.posterior(np.maximum(p, 0)), 1.0)
                 score = own.scores(data, offsets, m) if own else np.zeros(len(m))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.int32()), pa.array(bad), pa.array(score), pa.array(score >= 0.5)], names=[*(f"c{k}" for k in range(len(names))), "pattern", "p_bad", "score", "keep"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.int32()), pa.array(bad), pa.array(score), pa.array((score >= 0.5) | (p == 0))], names=[*(f"c{k}" for k in range(len(names))), "pattern", "p_bad", "score", "keep"])
 
     out = docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(run, ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields)) + ", pattern int, p_bad double, score double, keep boolean")
     return out.select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)), *(F.col(c).alias(c if c not in names else f"quality_{c}") for c in ("pattern", "p_bad", "score", "keep")))
