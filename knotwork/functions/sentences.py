@@ -22,7 +22,8 @@ _BLOCK = re.compile(markup(".*?", r"\(.*?\)"))
 # The letter that follows is taken along, so of two neighbours in "A. B. C" only the first is held back.
 _NUMBER_DOT = re.compile(rf"(\d+)\.(\s*[{_LETTERS}])")
 _SHORT_DOT = re.compile(rf"\b([{_LETTERS}]{{1,4}})\.(\s*[{_LETTERS}])")
-_END = re.compile(r"(?<=[.!?])\s+(?=[A-ZÇĞİÖŞÜ])")
+_UPPER = "ÇĞİÖŞÜA-Z"
+_END = re.compile(rf"(?<=[?!.])\s+(?=[{_UPPER}])")
 #: Private-use characters stand for mentions and for dots that end nothing; neither is a letter, digit, space or end.
 _MENTION, _DOT = "\ue000", "\ue001"
 

@@ -17,7 +17,7 @@ def markup(name: str, url: str) -> str:
 
 
 MENTION = markup("(.*?)", "(.*?)")
-LEGACY = r"___E:(.*?) U:\((https?://[^)]+)\)___"
+LEGACY = "___E:" + "(.*?)" + r" U:[(]((?:http|https)://[^)]+)[)]___"
 TITLE_SUFFIX, NO_TITLE = " - Vikipedi", "Başlık Bulunamadı"
 
 
