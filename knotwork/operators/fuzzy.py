@@ -18,10 +18,8 @@ from knotwork.plans.lineage import drop, keep
 
 def _prefixes(names: DataFrame, threshold: int) -> DataFrame:
     """(norm, len, gram): the rarest bigrams of each string; an n-th use of a bigram in a string is another one. Strings of one character never need any."""
-    chars = F.split("norm", "")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("len") - 1, F.lit(1))), lambda k: F.substring("norm", k, F.lit(2)))
     one = names.where("len > 1").select("norm", "len", F.explode(grams).alias("g"))
-    del chars
     numbered = one.withColumn("gram", F.concat_ws("\u0001", "g", F.row_number().over(W.partitionBy("norm", "g").orderBy("g"))))
     counts = numbered.groupBy("gram").agg(F.count("*").alias("df"))
     # The longest partner has len * (200 - t) / t characters.

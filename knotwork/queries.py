@@ -230,7 +230,7 @@ def lost_entities(spark, d):
     return quality.lost(*_partly_merged(spark, d))
 
 
-@query(_PART + "SELECT entity FROM (SELECT 'x' AS entity WHERE false) UNION SELECT entity FROM em EXCEPT SELECT entity FROM eo WHERE entity NOT LIKE 'C%'")
+@query(_PART + "SELECT entity FROM em EXCEPT SELECT entity FROM eo WHERE entity NOT LIKE 'C%'")
 def new_entities(spark, d):
     t, merged = _partly_merged(spark, d)
     return quality.new(t.where("head not like 'C%'"), merged)
@@ -261,9 +261,6 @@ def url_rollup(spark, d):
     return frequency.url_rollup(_mentions(spark, d))
 
 
-_PF = "string_agg(DISTINCT title, ' | ' ORDER BY title) AS titles, (SELECT 1) AS one"
-
-
 def _page_freq_sql(keys: str, where: str = "", least: int = 2) -> str:
     return _w(AN, ME) + f"""SELECT {keys}, count(DISTINCT page_id) AS n_pages, string_agg(DISTINCT title, ' | ' ORDER BY title) AS titles, array_to_string(list_sort(list(DISTINCT page_id)), ' | ') AS page_ids FROM me {where} GROUP BY {keys} HAVING count(DISTINCT page_id) >= {least}"""
 
@@ -313,7 +310,7 @@ def normalize_entity(spark, d):
     return views.table(spark, d, "part").select("p_partkey", T.normalise_entity(F.concat(F.lit(" \t"), "p_name", F.lit(" \n "), "p_brand", F.lit(" "))).alias("norm"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\f\\v\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g') AS text FROM documents".replace("AS text", "|| '.' AS text"))
+@query("SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\f\\v\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g') || '.' AS text FROM documents")
 def strip_citations(spark, d):
     return views.table(spark, d, "documents").select("doc_id", T.strip_citations(F.concat("text", F.lit("[12].[3]"))).alias("text"))
 
