@@ -47,7 +47,7 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, title, k, href, name) of every anchor of pages."""
     pattern = F.lit(r'<a href="([^"]*)">([^<]*)</a>')
     zipped = F.arrays_zip(F.regexp_extract_all("html", pattern, F.lit(1)).alias("h"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("n"))
-    return table(spark, sf_dir, "pages").select("page_id", page_title(F.col("html")).alias("title"), F.posexplode(zipped).alias("k", "a")).select("page_id", "title", (F.col("k") + 1).alias("k"), F.col("a.h").alias("href"), F.col("a.n").alias("name"))
+    return table(spark, sf_dir, "pages").select("page_id", page_title(F.col("html")).alias("title"), F.posexplode(zipped).alias("k", "a")).select("page_id", "title", (F.col("k") + 1).cast("long").alias("k"), F.col("a.h").alias("href"), F.col("a.n").alias("name"))
 
 
 def mention_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
