@@ -243,6 +243,43 @@ def digest(hits: DataFrame, least: int = 20) -> DataFrame:
     ).withColumn("contaminated", F.expr(f"n_hit > 0 and {least} * n_hit >= n_words"))
 
 
+def excise(docs: DataFrame, hits: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the words that hits (doc_id, n_words, spans, as contamination() gives them) names, and without what stands between these words.
+
+    A text's hits are told by its id and number of words. Texts without hits, null texts and other columns stay as they are.
+    """
+    names = docs.columns
+    at = names.index(text)
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    marks = hits.where("size(spans) > 0").groupBy("doc_id").agg(F.collect_set(F.struct("n_words", "spans")).alias("marks")).withColumnRenamed("doc_id", "id")
+    joined = plain.join(marks, F.col(f"c{names.index(doc_id)}").cast("long") == F.col("id"), "left").drop("id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = batch.column(len(names))
+            for lo, hi, data, offsets in text_slices(batch.column(at)):
+                part = batch.slice(lo, hi - lo)
+                texts = part.column(at)
+                rows = np.flatnonzero(np.asarray(marked.slice(lo, hi - lo).is_valid()))
+                if len(rows):
+                    starts, ends, first = words(LOWER[data], offsets, ALNUM)
+                    out = texts.to_pylist()
+                    for i in rows.tolist():
+                        n = int(first[i + 1] - first[i])
+                        keep = np.ones(int(offsets[i + 1] - offsets[i]), bool)
+                        for m in marked[lo + i].as_py():
+                            for span in m["spans"] if m["n_words"] == n else ():
+                                a, b = first[i] + span["start"], first[i] + span["stop"] - 1
+                                keep[starts[a] - offsets[i] : ends[b] - offsets[i]] = False
+                        if out[i] is not None:
+                            out[i] = data[offsets[i] : offsets[i + 1]][keep].tobytes().decode()
+                    texts = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns[:at], texts, *part.columns[at + 1 : len(names)]], names=[f"c{k}" for k in range(len(names))])
+
+    fields = ", ".join(f"c{k} {'string' if k == at else f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
+    return joined.mapInArrow(run, fields).toDF(*names)
+
+
 def find_phrases(index: DataFrame, phrases: list[str], slop: int | None = None) -> DataFrame:
     """(doc_id, phrase number, word position) of each exact match, or, with slop, of each place of the phrase's first word with all its other words within slop words.
 

@@ -61,6 +61,15 @@ def test_stages_take_odd_rows(spark):
     assert corpus_pipeline.tokenise(spark, docs, SF).where("round_trip").count() == 4
 
 
+def test_benchmark_words_are_cut(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    own = " ".join(f"w{k}é" for k in range(4000))
+    rows = [(1, f"{own}. {item} {own}", 1), (2, f"Ab {item}", 2), (3, own, 3), (4, None, 4)]
+    out = {r.doc_id: r for r in corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), SF).collect()}
+    assert set(out) == {1, 3, 4} and out[3].text == own and out[4].text is None
+    assert out[1].text.startswith(f"{own}. ") and out[1].text.endswith(f" {own}") and len(out[1].text) < 2 * len(own) + 8 and out[1].n_chars == len(out[1].text)
+
+
 def test_very_long_texts(spark):
     long = " ".join(f"söz{k % 9973} var{k % 7919}." for k in range(120_000))
     docs = spark.createDataFrame([(1, long), (2, long + " ek"), (3, "Kısa bir metin. MIT License"), (4, long[:200_000].replace(" ", ""))], "doc_id long, text string")
