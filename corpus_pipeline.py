@@ -32,11 +32,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no more of the benchmark than the rule of the decontamination allows."""
+    """Contaminated documents go; from others the words that windows of the benchmark hit are cut."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontamination.digest(decontamination.contamination(docs, benchmark)).where("contaminated and doc_id is not null").select("doc_id").distinct()
-    gone, _ = store.keep(gone, "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    hits, _ = store.keep(decontamination.contamination(docs, benchmark).where("size(spans) > 0"), "hits")
+    gone = decontamination.digest(hits).where("contaminated").select("doc_id").distinct()
+    left = decontamination.excise(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), hits)
+    return left.select(*(F.coalesce(F.char_length("text").cast("long"), c).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
