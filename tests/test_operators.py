@@ -12,6 +12,7 @@ from knotwork.functions.html import infobox, paragraphs
 from knotwork.functions.sentences import split_sentences
 from knotwork.functions.similarity import common_length, ratio
 from knotwork.operators import crawl, extraction, frequency, fuzzy, graph, merge, quality, sets, statistics, wikidata
+from knotwork.plans import lineage
 from knotwork.plans.ranking import with_rank
 from knotwork.plans.schema import TRIPLE, quarantine, require_keys
 from knotwork.sources import readers, sinks
@@ -339,3 +340,24 @@ def test_stream_windows(spark, tmp_path):
     q = counts.writeStream.format("memory").queryName("w").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("w"), "relation", "n") == [("r", 2), ("s", 1)]
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    class Conf:
+        value = str(tmp_path / "given")
+
+        def get(self, key, default):
+            assert key == "spark.checkpoint.dir"
+            return self.value
+
+    class Session:
+        conf, sparkContext = Conf(), spark.sparkContext
+
+    assert lineage.shared_dir(Session()) == str(tmp_path / "given")
+    Conf.value = None
+    assert lineage.shared_dir(Session()) == lineage.shared_dir(Session()) != str(tmp_path / "given")
+    kept, path = lineage.keep(spark.range(3), "t")
+    assert path.startswith(lineage.shared_dir(spark)) and kept.count() == 3
+    lineage.drop(spark, path)
+    with pytest.raises(Exception, match=r"(?i)not.?exist|not found"):
+        spark.read.parquet(path).count()
