@@ -1,11 +1,12 @@
 """Line dedup by winnowing over line hashes.
 
 Lines are cut further at sentence ends, so that a passage is seen wherever it stands in a line; such pieces are the units. A window is the shortest
-run of units, from any unit on, that has MIN_WORDS words. Of each window the least unit hash is its fingerprint: two texts that share
-a run of MIN_WORDS words or more share a window there, and so a fingerprint. Fingerprints are counted; at those that occur more than once,
+run of units, from any unit on or up to any unit, that has MIN_WORDS words. Of each window the least unit hash is its fingerprint: two texts that share
+a run of whole units with MIN_WORDS words or more share a window there, and so a fingerprint. Fingerprints are counted; at those that occur more than once,
 positions are joined: windows there are matched over their whole content, and adjoining windows extend a match both
-ways. Every window that occurred before - in a document with a smaller id, or earlier in the same one without overlap - is deleted. So
-exactly those units go that lie in a repeated run of MIN_WORDS words or more, but for its first occurrence.
+ways. Every window that occurred before - in a document with a smaller id, or earlier in the same one without overlap - is deleted. In a
+repeated run each unit lies in the shortest window from it on, or in that up to the run's end; so exactly those units go that lie in a
+repeated run of MIN_WORDS words or more, but for its first occurrence.
 
 Each step counts or takes minima by key, combined before the shuffle, so a passage in a third of all rows is no hot group. Rows with one doc_id
 and equal text are one document and share a fate; null ids come first. Null and empty texts stay as they are. Extra columns are passed on.
@@ -49,8 +50,8 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts[begin], span_hashes(data, starts[begin], ends[last]), last - begin + 1, np.searchsorted(begin, first)
 
 
-def windows(hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each window: first unit, number of units, fingerprint, hash of its content."""
+def windows(hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray, least: int, ends: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each window: first unit, number of units, fingerprint, hash of its content. The shortest from each unit on; with ends also the shortest up to each unit."""
     n = len(hashes)
     none = np.zeros(0, np.int64)
     if not n:
@@ -60,6 +61,11 @@ def windows(hashes: np.ndarray, sizes: np.ndarray, first: np.ndarray, least: int
     limit = np.repeat(first[1:], np.diff(first))
     at = np.flatnonzero(stop <= limit)
     count = stop[at] - at
+    if ends:
+        start = np.searchsorted(total, total[1:] - least, "right") - 1  # last start with enough words
+        last = np.flatnonzero(start >= np.repeat(first[:-1], np.diff(first)))
+        both = np.unique(np.concatenate((at * PACK + count, start[last] * PACK + last + 1 - start[last])))
+        at, count = both // PACK, both % PACK
     low = hashes[at].copy()
     for k in range(1, int(count.max()) if len(count) else 0):
         more = np.flatnonzero(count > k)
@@ -79,7 +85,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFra
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(2)):
                 _, hashes, sizes, first = units(data, offsets)
-                at, count, low, content = windows(hashes, sizes, first, least)
+                at, count, low, content = windows(hashes, sizes, first, least, ends=True)
                 doc = np.searchsorted(first, at, "right") - 1
                 new = np.ones(len(at), bool)
                 new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
