@@ -1,11 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut at line ends, sentence ends and blank lines. From each cut, spans of up to MAX_PIECES pieces (so that a sentence may
-be wrapped over lines) are normalised - comment leaders dropped, lower case, only letters, digits and inner dots, spellings unified -
+A text is cut at line ends, sentence ends and blank lines. From each cut, spans of pieces, up to the length of the longest known sentence (so that
+a sentence may be wrapped over any lines), are normalised - comment leaders dropped, lower case, only letters, digits and inner dots, spellings unified -
 and looked up among the known licence sentences; the longest known span wins. The sequence of identifiers is then matched against ordered rules: the longest rule first, its
 identifiers in order, with up to GAP unknown sentences between them. Identifiers that belong to no rule are reported as they are.
 
-Each known sentence holds one of TRIGGERS, so texts without any have no licence; they are only searched for that. Null or empty
+Each known sentence holds one of TRIGGERS within a word, however it is wrapped, so texts without any have no licence; they are only searched for that. Null or empty
 texts: no licences. Repeated rows are scanned each; ties go to the rule listed first. Extra columns are ignored.
 """
 
@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Between the first pieces of a rule's sentences lie GAP pieces besides those of the sentence, which count MAX_PIECES at least.
 MAX_PIECES, GAP = 8, 2
-TRIGGERS = ("licen", "copyright", "rights reserved", "warrant", "spdx", "permission", "redistribut", "public domain", "liab", "endorse")
+TRIGGERS = ("licen", "copyright", "reserved", "warrant", "spdx", "permission", "redistribut", "domain", "liab", "endorse")
 
 #: identifier: sentences, as they are written; * stands for any words.
 SENTENCES: dict[str, tuple[str, ...]] = {
@@ -82,8 +83,9 @@ _OTHER = re.compile(r"[^a-z0-9.]+")
 _DOTS = re.compile(r"\.(?![a-z0-9])|(?<![a-z0-9])\.")
 
 
-def normalise(sentence: str) -> str:
-    s = _LEADER.sub("", sentence).lower().replace("licence", "license").replace("https:", "http:")
+def normalise(sentence: str, leader: bool = True) -> str:
+    """With leader, what a comment's line begins with is dropped."""
+    s = (_LEADER.sub("", sentence) if leader else sentence).lower().replace("licence", "license").replace("https:", "http:")
     return " ".join(_DOTS.sub(" ", _OTHER.sub(" ", s)).split())
 
 
@@ -92,7 +94,7 @@ def _known() -> tuple[dict[str, str], list[tuple[str, str]], set[str]]:
     exact, prefixes = {}, []
     for name, forms in SENTENCES.items():
         for form in forms:
-            if not _TRIGGER.search(form):
+            if not any(_TRIGGER.search(word) for word in normalise(form).split()):
                 raise ValueError(f"no trigger in {form!r}")
             if form.endswith("*"):
                 prefixes.append((normalise(form[:-1]) + " ", name))
@@ -106,8 +108,8 @@ _LONGEST = max(map(len, EXACT))
 _ORDERED = sorted(((rule, name) for name, rules in RULES.items() for rule in rules), key=lambda x: -len(x[0]))
 
 
-def sentences(text: str) -> list[tuple[str, int, int, int, str]]:
-    """(identifier, first piece, end character's start and end, what any words stand for) of the known sentences, in order."""
+def sentences(text: str) -> list[tuple[str, int, int, int, str, int]]:
+    """(identifier, first piece, end character's start and end, what any words stand for, number of pieces) of the known sentences, in order."""
     if not _TRIGGER.search(text):
         return []
     cuts, at = [], 0
@@ -117,31 +119,40 @@ def sentences(text: str) -> list[tuple[str, int, int, int, str]]:
         at = m.end()
     if at < len(text):
         cuts.append((at, len(text)))
+    inner: list[str | None] = [None] * len(cuts)  # pieces as they read inside a span, when asked for
     found, k = [], 0
     while k < len(cuts):
         head = normalise(text[cuts[k][0] : cuts[k][1]])
         best = None
         if head.partition(" ")[0] in FIRST:
-            for n in range(min(MAX_PIECES, len(cuts) - k), 0, -1):
-                s = head if n == 1 else normalise(text[cuts[k][0] : cuts[k + n - 1][1]])
-                if len(s) <= _LONGEST and s in EXACT:
-                    best = (EXACT[s], n, "")
-                    break
+            if head in EXACT:
+                best = (EXACT[head], 1, "")
+            s, m = head, k + 1
+            while len(s) <= _LONGEST and m < len(cuts):
+                start, stop = cuts[m]
+                if inner[m] is None:
+                    inner[m] = normalise(text[start:stop], leader=text[start - 1] == "\n")
+                m += 1
+                if inner[m - 1]:
+                    s = f"{s} {inner[m - 1]}"
+                    if s in EXACT:
+                        best = (EXACT[s], m - k, "")
             if not best:
                 best = next(((name, 1, head[len(p) :]) for p, name in PREFIXES if head.startswith(p)), None)
         if best:
-            found.append((best[0], k, cuts[k][0], cuts[k + best[1] - 1][1], best[2]))
+            found.append((best[0], k, cuts[k][0], cuts[k + best[1] - 1][1], best[2], best[1]))
             k += best[1]
         else:
             k += 1
     return found
 
 
-def licences(found: list[tuple[str, int, int, int, str]]) -> list[tuple[str, int, int]]:
+def licences(found: list[tuple[str, int, int, int, str, int]]) -> list[tuple[str, int, int]]:
     """(licence, start, end) by the rules; each sentence counts for one licence."""
     used: set[int] = set()
     out = []
-    for k, (name, _, start, end, rest) in enumerate(found):
+    near = lambda at, last: found[at][1] - found[last][1] <= GAP + max(MAX_PIECES, found[last][5])
+    for k, (name, _, start, end, rest, _) in enumerate(found):
         if name == "spdx" and rest:
             out.append((rest.split(" ")[0] if " " not in rest else rest.replace(" ", "-"), start, end))
             used.add(k)
@@ -149,9 +160,9 @@ def licences(found: list[tuple[str, int, int, int, str]]) -> list[tuple[str, int
         for k in range(len(found)):
             chain, at = [], k
             for want in rule:
-                while at < len(found) and chain and found[at][0] != want and found[at][1] - found[chain[-1]][1] <= GAP + MAX_PIECES and at not in used and found[at][0] == "copyright":
+                while at < len(found) and chain and found[at][0] != want and near(at, chain[-1]) and at not in used and found[at][0] == "copyright":
                     at += 1
-                if at >= len(found) or at in used or found[at][0] != want or (chain and found[at][1] - found[chain[-1]][1] > GAP + MAX_PIECES):
+                if at >= len(found) or at in used or found[at][0] != want or (chain and not near(at, chain[-1])):
                     break
                 chain.append(at)
                 at += 1

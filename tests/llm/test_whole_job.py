@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from knotwork.llm import linededup
+from knotwork.llm import licenses, linededup
 
 
 def without_runs(texts, least):
@@ -40,3 +40,17 @@ def test_line_dedup_against_all_runs(spark, least):
     texts = ["".join(rng.choice(lines) + rng.choice(["\n", ".\n"]) for _ in range(rng.randint(1, 14))) for _ in range(40)]
     texts += [t + u for t, u in zip(texts[::3], texts[1::3])]
     assert deduped(spark, texts, least) == without_runs(texts, least)
+
+
+@pytest.mark.parametrize("text", ["All rights\nreserved.", "All rights  reserved.", "// All rights\n// reserved.", "This work is dedicated to the public\ndomain."])
+def test_licenses_in_wrapped_or_spaced_words(text):
+    assert len(licenses.sentences(f"Before.\n{text}\nAfter")) == 1
+
+
+@pytest.mark.parametrize("lead", ["", "# "])
+def test_licenses_over_many_lines(lead):
+    known = {n: f for n in ("mit-grant", "mit-notice", "asis") for f in licenses.SENTENCES[n]}
+    text = "\n".join(lead + word for form in known.values() for word in form.split())
+    found = licenses.sentences(text + "\n#\n" + lead + "more")
+    assert [f[0] for f in found] == list(known)
+    assert [(n, text[a:b]) for n, a, b in licenses.licences(found)] == [("MIT", text)]
