@@ -6,7 +6,8 @@ a run of whole units with MIN_WORDS words or more share a window there, and so a
 positions are joined: windows there are matched over their whole content, and adjoining windows extend a match both
 ways. Every window that occurred before - in a document with a smaller id, or earlier in the same one without overlap - is deleted. In a
 repeated run each unit lies in the shortest window from it on, or in that up to the run's end; so exactly those units go that lie in a
-repeated run of MIN_WORDS words or more, but for its first occurrence.
+repeated run of MIN_WORDS words or more, but for its first occurrence. Units are never split: of a passage that begins or ends inside a unit only
+the inner units count, and a line without sentence ends is one unit, inside which nothing repeated is found.
 
 Each step counts or takes minima by key, combined before the shuffle, so a passage in a third of all rows is no hot group. Rows with one doc_id
 and equal text are one document and share a fate; null ids come first. Null and empty texts stay as they are. Extra columns are passed on.
