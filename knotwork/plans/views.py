@@ -67,7 +67,7 @@ def triples_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer -> part -> supplier, as (src, dst)."""
+    """customer -> part -> supplier, and supplier -> part for parts whose key ends in 7 only (as the SQL of bfs_depth has it), as (src, dst)."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
