@@ -32,11 +32,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; from others the words that windows of the benchmark hit are cut."""
+    """Contaminated documents go; from others the words that windows of the benchmark hit are cut. Both follow from the text, whatever its doc_id."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hits, _ = store.keep(decontamination.contamination(docs, benchmark).where("size(spans) > 0"), "hits")
-    gone = decontamination.digest(hits).where("contaminated").select("doc_id").distinct()
-    left = decontamination.excise(docs.join(gone, "doc_id", "left_anti").select(*docs.columns), hits)
+    rows = docs.withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    hits, _ = store.keep(decontamination.contamination(rows, benchmark, "_text_hash").where("size(spans) > 0"), "hits")
+    gone = decontamination.digest(hits).where("contaminated").select(F.col("doc_id").alias("_text_hash")).distinct()
+    left = decontamination.excise(rows.join(gone, "_text_hash", "left_anti").select(*rows.columns), hits, "_text_hash").drop("_text_hash")
     return left.select(*(F.coalesce(F.char_length("text").cast("long"), c).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
 
 

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from knotwork.llm import licenses, linededup
 
 
@@ -54,3 +55,12 @@ def test_licenses_over_many_lines(lead):
     found = licenses.sentences(text + "\n#\n" + lead + "more")
     assert [f[0] for f in found] == list(known)
     assert [(n, text[a:b]) for n, a, b in licenses.licences(found)] == [("MIT", text)]
+
+
+def test_benchmark_goes_whatever_the_id(spark):
+    sf = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    own = " ".join(f"w{k}" for k in range(8000))
+    rows = [(None, item), (1, item), (1, own), (None, f"{own} {item}"), (None, own), (2, None)]
+    out = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(((r.doc_id, r.text and r.text.strip(" .")) for r in out), key=str) == sorted([(1, own), (None, own), (None, own), (2, None)], key=str)
