@@ -3,15 +3,17 @@
 Code points are lower-cased one by one where that keeps one code point; runs of what isn't a letter count as one space. Grams of 1 to 3 characters
 are hashed into BUCKETS features, with 1 + log(count), times the inverse document frequency over all training texts, normalised to length 1. Weights are fitted with
 follow-the-regularised-leader (per-coordinate rates, elastic net, so most weights of useless features are exactly 0) on a sample
-of about SAMPLE training texts, chosen by the hash of their ids; a quarter of the sample is kept back to fit the temperature that calibrates the scores.
+of distinct training texts, chosen by a 64-bit hash of the text: SAMPLE in proportion to the languages, but LEAST of each language that has as many, for up to
+LANGUAGES of them (the most frequent ones), so a rare language is learned in a table of any size. Of each language every fourth chosen text is kept back to fit the temperature that calibrates the scores.
 
-A text that is null or has no letter is `und` with score 0. Where nothing can be learned (no labelled text), all are. A tie goes to the language that sorts first.
-Repeated rows are predicted each. Extra columns are ignored; neither language, source nor id is an input of a prediction.
+A text that is null or has no letter is `und` with score 0. Where nothing can be learned (no labelled text, or an empty table), all are. A tie goes to the language that sorts first.
+Repeated rows are predicted each, very long texts whole. Extra columns are ignored, whatever their names; neither language, source nor id is an input of a prediction.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +23,12 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.llm import sampling, store
+
 BUCKETS = 1 << 15
 SAMPLE = 8000
+#: Texts of each language at least, if it has as many; languages at most.
+LEAST, LANGUAGES = 150, 1000
 ALPHA, BETA, L1, L2, EPOCHS = 2.0, 1.0, 0.002, 0.0005, 3
 #: Code points of a text that are handled at a time.
 CHUNK = 1 << 20
@@ -68,23 +74,35 @@ def has_letter(text: str | None) -> bool:
     return text is not None and _LETTER.search(text) is not None
 
 
-def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """In how many texts each feature occurs, and the number of texts; counted in each task, summed by feature."""
+def document_frequencies(docs: DataFrame, text: str, lang: str, languages: int = LANGUAGES) -> tuple[np.ndarray, int, dict[str, int]]:
+    """In how many texts each feature occurs, the number of texts, and that of each of the most frequent languages; counted in each task, then summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(BUCKETS + 1, np.int64), 0
+        df, spoken = np.zeros(BUCKETS, np.int64), Counter()
         for batch in batches:
-            for t in batch.column(0):
+            for t, tongue in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 df[features(t.as_py())[0]] += 1
-                n += 1
-        df[BUCKETS] = n
+                spoken[tongue] += 1
+            if len(spoken) > 10 * languages:
+                yield counts_of(spoken)
+                spoken.clear()
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], names=["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([None] * len(at), pa.string()), pa.array(df[at])], names=["feature", "lang", "n"])
+        yield counts_of(spoken)
+
+    def counts_of(spoken: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([-1] * len(spoken), pa.int32()), pa.array(list(spoken), pa.string()), pa.array(list(spoken.values()), pa.int64())], names=["feature", "lang", "n"])
 
-    out = np.zeros(BUCKETS + 1, np.int64)
-    for r in docs.select(F.col(text).cast("string")).where(F.col(text).isNotNull()).mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    given = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    found, path = store.keep(given.mapInArrow(run, "feature int, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n")), "frequencies")
+    out = np.zeros(BUCKETS, np.int64)
+    for r in found.where("feature >= 0").collect():  # BUCKETS at most
         out[r.feature] = r.n
-    return out[:BUCKETS], int(out[BUCKETS])
+    spoken = found.where("feature = -1")
+    total = spoken.agg(F.sum("n")).first()[0] or 0
+    most = {r.lang: r.n for r in spoken.orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    store.drop(docs.sparkSession, path)
+    return out, int(total), most
 
 
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,36 +166,35 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> Model | None:
     """A model of docs' texts and languages; None where no row has both."""
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    df, n = document_frequencies(known, "text")
+    known = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    df, n, spoken = document_frequencies(known, "text", "lang")
     if not n:
         return None
     idf = np.log((1 + n) / (1 + df)) + 1
-    # About `sample` rows in expectation (plus a few square roots of it at most), by a hash, so no row count is needed in any task.
-    share = min(1.0, sample / n)
-    chosen = known.where(F.expr(f"pmod(xxhash64(doc_id, 5), 1000000) < {int(share * 1_000_000)}"))
+    bounds = [(tongue, sampling.bound(max(sample * of / n, min(least, of)), of)) for tongue, of in spoken.items()]
+    table = docs.sparkSession.createDataFrame(bounds, "lang string, below long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([a.astype(np.int32) for a, _ in rows], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in rows], pa.list_(pa.int32()))], names=["h", "lang", "at", "n"])
 
-    table = chosen.select(F.xxhash64("doc_id", F.lit(6)).alias("h"), "text", "lang").mapInArrow(run, "h long, lang string, at array<int>, n array<int>").toArrow()
+    picked = sampling.chosen(known.join(F.broadcast(table), "lang"), F.col("below"), 2 * (sample + least * len(spoken)), "text", "lang", "below")
+    table = picked.select("h", "text", "lang").mapInArrow(run, "h long, lang string, at array<int>, n array<int>").toArrow()
     if not len(table):
         return None
-    languages = sorted(set(table.column("lang").to_pylist()))
-    hashes = table.column("h").to_numpy()
-    rows = []
     names = table.column("lang").to_pylist()
-    for k in np.argsort(hashes, kind="stable").tolist():
+    languages = sorted(set(names))
+    hashes = table.column("h").to_numpy()
+    rows, kept_back, seen = [], [], Counter()
+    for k in sorted(range(len(names)), key=lambda k: (hashes[k], names[k])):
         at, c = (np.asarray(table.column(x)[k].values) for x in ("at", "n"))
         x = (1 + np.log(c)) * idf[at]
-        rows.append((at, x / max(np.sqrt((x * x).sum()), 1e-12), languages.index(names[k])))
-    cut = len(rows) - len(rows) // 4
-    weights, bias = follow_the_leader(rows[:cut], len(languages))
-    kept_back = rows[cut:]
+        (kept_back if seen[names[k]] % 4 == 3 else rows).append((at, x / max(np.sqrt((x * x).sum()), 1e-12), languages.index(names[k])))
+        seen[names[k]] += 1
+    weights, bias = follow_the_leader(rows, len(languages))
     t = temperature(np.array([x @ weights[at] + bias for at, x, _ in kept_back]), np.array([y for *_, y in kept_back])) if kept_back else 1.0
     return Model(languages, idf, weights, bias, t)
 

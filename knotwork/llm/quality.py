@@ -3,10 +3,13 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document. Documents are counted by vote pattern (at most
 3 ** labellers patterns, whatever the corpus), and expectation-maximisation over all of them estimates the labellers' accuracies and the share of
 bad documents. The posterior of a document's pattern is its soft label. A hashed linear scorer - logistic, on the relative frequencies of hashed byte-class
-n-grams and of some hashed measures of the text - is trained on the soft labels of a sample of about SAMPLE documents, and scores every whole text.
+n-grams and of some hashed measures of the text - is trained on the soft labels of about SAMPLE distinct texts, and scores every whole text. The sample is
+taken by a 64-bit hash of the text, so it is of one size for any table, and neither null nor repeated ids nor copies of one text swell it.
 
-A document is kept if its score is at least 0.5, or if no labeller votes on it (a few words with numbers, say), as then nothing speaks against it. A null text, or one without any word, is empty: score 0, not kept. Repeated rows
-are scored each. An empty table gives no rows. Extra columns are passed by. Only a model of fixed size is broadcast.
+A document is kept if its score is at least 0.5. Where no labeller votes (few words with numbers, say), the label model has no ground to reject: by its rule of
+abstention the document is kept whatever the score. A null text, or one without any word, is empty: score 0, not kept. Should no chosen text have a word, the label model's
+posterior is the score. Ties: a score of exactly 0.5 is kept. Repeated rows are scored each, very long ones whole. An empty table gives no rows. Extra columns are passed on; where one has the name of a result,
+the result is called quality_<name>. Only a model of fixed size is broadcast.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knotwork.llm import sampling
 from knotwork.llm.textbytes import LOWER, NONSPACE, span_hashes, text_slices, words
 
 FEATURES = 1 << 14
@@ -215,14 +219,13 @@ def label(docs: DataFrame, text: str, *more: Column) -> DataFrame:
     return given.mapInArrow(run, f"{fields}pattern int")
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, Scorer | None]:
-    """The label model of all docs, and a scorer trained on the posterior labels of a sample; None where no text has a word."""
+def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, Scorer | None]:
+    """The label model of all docs, and a scorer trained on the posterior labels of a sample of their distinct texts; None where no chosen text has a word."""
     counted = label(docs, text).groupBy("pattern").agg(F.count("*").alias("n")).where("pattern >= 0").toPandas().sort_values("pattern")
     model = expectation_maximisation(counted.pattern.to_numpy(np.int64), counted.n.to_numpy(float))
     total = int(counted.n.sum())
     if not total:
         return model, None
-    chosen = docs.where(F.col(text).isNotNull() & F.expr(f"pmod(xxhash64(`{doc_id}`, 9), 1000000) < {int(min(1.0, sample / total) * 1_000_000)}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,16 +242,17 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
                         names=["h", "pattern", "at", "x", "m"],
                     )
 
-    rows = chosen.select(F.xxhash64(doc_id, F.lit(10)), F.col(text).cast("string")).mapInArrow(run, "h long, pattern int, at array<int>, x array<double>, m array<int>").toArrow().to_pandas().sort_values("h", kind="stable")
+    texts = docs.select(F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = sampling.chosen(texts, sampling.bound(sample, total), 2 * sample).mapInArrow(run, "h long, pattern int, at array<int>, x array<double>, m array<int>").toArrow().to_pandas().sort_values("h", kind="stable")
     if not len(rows):
         return model, None
     good = 1 - model.posterior(rows.pattern.to_numpy(np.int64))
     return model, fit_scorer(rows["x"].tolist(), rows["at"].tolist(), np.stack(rows["m"].tolist()), good)
 
 
-def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
+def classify(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """For each row of docs: its columns, then pattern, p_bad (the label model's posterior), score (of the linear scorer) and keep."""
-    model, scorer = train(docs, doc_id, text, sample)
+    model, scorer = train(docs, text, sample)
     shared = docs.sparkSession.sparkContext.broadcast((model, scorer))
     names = [f.name for f in docs.schema.fields]
     at = names.index(text)
@@ -261,7 +265,7 @@ def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample
                 m = measure(data, offsets)
                 p = np.where(m[:, 0] > 0, pattern(votes(m)), -1)
                 bad = np.where(p >= 0, label_model.posterior(np.maximum(p, 0)), 1.0)
-                score = own.scores(data, offsets, m) if own else np.zeros(len(m))
+                score = own.scores(data, offsets, m) if own else 1 - bad
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.int32()), pa.array(bad), pa.array(score), pa.array((score >= 0.5) | (p == 0))], names=[*(f"c{k}" for k in range(len(names))), "pattern", "p_bad", "score", "keep"])
 
