@@ -131,5 +131,21 @@ FROM e GROUP BY conv_id
 """
 
 
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS ts,
+    regexp_extract(coalesce(text, ''), '^[\x20\x09-\x0D]*') AS lead FROM documents
+),
+w AS (SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
+f AS (SELECT *, first_value(doc_id) OVER o AS d0, first_value(i) OVER o AS i0 FROM w WINDOW o AS (PARTITION BY k ORDER BY doc_id, i)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM f WHERE doc_id <> d0 OR i >= i0 + 50),
+t AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS j FROM d),
+l AS (SELECT doc_id, min(j) AS j, string_agg(t, '' ORDER BY j) AS t FROM t ANTI JOIN g USING (doc_id, j) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN len(ts) = 0 THEN text ELSE CASE WHEN l.j = 1 THEN lead ELSE '' END || coalesce(l.t, '') END AS text, CAST(len(ts) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed
+FROM d LEFT JOIN l USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2, "op4_minhash_neardup": OP4, "op8_chat_formatting": OP8}
+    return {"op2_decontamination": OP2, "op4_minhash_neardup": OP4, "op7_line_dedup": OP7, "op8_chat_formatting": OP8}

@@ -55,7 +55,7 @@ def test_sentencepiece_query(spark, docs):
 def test_line_dedup_query(spark, docs):
     got = run(spark, "op7_line_dedup", "doc_id")
     want = without_repeats(docs.text.tolist(), 50)
-    assert [(t, n) for t, n in zip(got.text, got.n_removed, strict=True)] == [want[k] for k in range(len(docs))]
+    assert list(zip(got.text, got.n_removed, strict=True)) == want
 
 
 def test_language_query(spark, docs):

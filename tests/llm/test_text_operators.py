@@ -154,63 +154,67 @@ def test_near_duplicates_edges(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def cut(text):
-    toks = list(re.finditer(r"[^\x20\x09-\x0D]+", text))
-    out, cur = [], []
-    for k, m in enumerate(toks):
-        if k and ("\n" in text[toks[k - 1].end() : m.start()] or text[toks[k - 1].end() - 1] in ".!?"):
-            out.append(cur)
-            cur = []
-        cur.append(m)
-    return [(u[0].start(), text[u[0].start() : u[-1].end()], len(u)) for u in [*out, cur] if u]
+def without_repeats(texts, least):
+    """(text, words gone): every window of least words that occurred before, without overlap, is cut to the word."""
+    toks = [list(re.finditer(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    seen, gone, out = {}, set(), []
+    for i, found in enumerate(toks):
+        w = [m.group() for m in found]
+        for s in range(len(w) - least + 1):
+            doc, first = seen.setdefault(tuple(w[s : s + least]), (i, s))
+            if doc != i or s >= first + least:
+                gone |= {(i, j) for j in range(s, s + least)}
+    for i, (t, found) in enumerate(zip(texts, toks, strict=True)):
+        edges = [0, *(m.start() for m in found[1:]), len(t or "")]
+        cut = [(i, j) in gone for j in range(len(found))]
+        out.append((t if not found else "".join(t[edges[j] : edges[j + 1]] for j in range(len(found)) if not cut[j]), sum(cut)))
+    return out
 
 
-def without_repeats(texts, least):
-    seen, kept = {}, {}
-    spans = []
-    for i, t in enumerate(texts):
-        u = cut(t or "")
-        for s in range(len(u)):
-            n, k = 0, s
-            while k < len(u) and n < least:
-                n += u[k][2]
-                k += 1
-            if n >= least:
-                key = tuple(x[1] for x in u[s:k])
-                seen.setdefault(key, (i, s, k - s))
-                spans.append((i, s, k, key))
-    gone = {(i, j) for i, s, k, key in spans if seen[key][0] != i or s >= seen[key][1] + seen[key][2] for j in range(s, k)}
-    for i, t in enumerate(texts):
-        u = cut(t or "")
-        edges = [0, *(x[0] for x in u[1:]), len(t or "")]
-        kept[i] = (t if not u else "".join(t[edges[j] : edges[j + 1]] for j in range(len(u)) if (i, j) not in gone), sum((i, j) in gone for j in range(len(u))))
-    return kept
-
-
-@pytest.mark.parametrize("least", [8, 1])
+@pytest.mark.parametrize("least", [1, 8, 50, 63, 64, 100])
 def test_line_dedup(spark, least):
     rng = random.Random(least)
-    lines = [" ".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) + rng.choice(["", ".", "!"]) for _ in range(12)]
-    texts = [None, "", "\n\n", "a b c d e f g h i j"] + ["".join(rng.choice(lines) + rng.choice(["\n", " ", "\n\n", " \n"]) for _ in range(rng.randint(1, 14))) for _ in range(40)]
-    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup(docs(spark, texts), least=least).collect()}
+    lines = [" ".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6 * max(1, least // 10)))) + rng.choice(["", ".", "!"]) for _ in range(12)]
+    texts = [None, "", "\n\n", " a b c d e f g h i j"] + ["".join(rng.choice(lines) + rng.choice(["\n", " ", "\n\n", " \n"]) for _ in range(rng.randint(1, 14))) for _ in range(40)]
+    texts += [" ".join(["x"] * 300), " ".join(["x", "y"] * 150), " ".join(["x"] * 150)]  # runs that overlap themselves
+    got = [(r.text, r.n_removed) for r in linededup.dedup(docs(spark, texts), least=least).orderBy("doc_id").collect()]
     assert got == without_repeats(texts, least)
 
 
+def test_line_dedup_inside_lines(spark):
+    """A passage is found wherever it begins in a line and however it is wrapped, and is cut to its last word."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = [word() for _ in range(51)]
+    texts = []
+    for k in range(30):
+        own = [[word() for _ in range(rng.randint(3, 90))] for _ in range(2)]
+        texts.append(" ".join(own[0]) + rng.choice([" ", "\n"]) + rng.choice([" ", "\n", "  "]).join(passage) + " " + " ".join(own[1]))
+    rows = linededup.dedup(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.n_removed for r in rows] == [0] + [51] * 29
+    assert [(r.text, r.n_removed) for r in rows] == without_repeats(texts, 50)
+
+
 def test_line_dedup_edges(spark):
-    df = spark.createDataFrame([(1, "a b c d", 9), (1, "a b c d", 9), (None, "a b c d", 9)], "doc_id long, text string, n_units int")
-    got = sorted(((r.doc_id, r.text, r.n_units, r.line_n_units, r.n_removed) for r in linededup.dedup(df, least=2).collect()), key=str)
-    assert got == [(1, "", 9, 1, 1), (1, "", 9, 1, 1), (None, "a b c d", 9, 1, 0)]
+    df = spark.createDataFrame([(1, "a b c d", 9), (1, "a b c d", 9), (1, "d c b a", 9), (None, "a b c d", 9), (None, None, 9)], "doc_id long, text string, n_words int")
+    got = sorted(((r.doc_id, r.text, r.n_words, r.line_n_words, r.n_removed) for r in linededup.dedup(df, least=2).collect()), key=str)
+    assert got == sorted([(1, "", 9, 4, 4), (1, "", 9, 4, 4), (1, "d c b a", 9, 4, 0), (None, "a b c d", 9, 4, 0), (None, None, 9, 0, 0)], key=str)
     assert linededup.dedup(df.limit(0)).count() == 0
 
 
 def test_winnowing_guarantee():
+    """Each window of least words belongs to one fingerprint, which is its least line hash, the first if tied."""
     rng = random.Random(0)
-    for _ in range(200):
-        h = np.array([rng.randrange(1 << 60) for _ in range(30)], np.uint64)
-        sizes = np.array([rng.randint(1, 9) for _ in range(30)])
-        at, count, low, _ = linededup.windows(h, sizes, np.array([0, 30]), 20)
-        for a, n, m in zip(at, count, low, strict=True):
-            assert sizes[a : a + n].sum() >= 20 > sizes[a : a + n - 1].sum() and m == h[a : a + n].min()
+    for least in (1, 5, 20, 50):
+        for _ in range(20):
+            h = np.array([rng.randrange(40) for _ in range(130)], np.uint64)
+            first, span = np.array([0, 0, 60, 70, 130]), linededup.span_of(least)
+            runs = linededup.Runs(h)
+            begin, stop, place = linededup.winnow(runs, len(h), first, least)
+            owner = {s: p for a, b, p in zip(begin.tolist(), stop.tolist(), place.tolist(), strict=True) for s in range(a, b)}
+            lines = runs.of(np.arange(131 - span), np.arange(131 - span) + span).tolist()
+            want = {s: min(range(s, s + least - span + 1), key=lambda k: (lines[k], k)) for a, b in ((0, 60), (60, 70), (70, 130)) for s in range(a, b - least + 1)}
+            assert owner == want
 
 
 def test_licenses(spark):
