@@ -57,7 +57,7 @@ def test_stages_take_odd_rows(spark):
         assert out.dtypes == docs.dtypes
         assert {3} <= {r.doc_id for r in out.collect()}
     assert {r.doc_id for r in corpus_pipeline.quality_classifier(spark, docs, SF).collect()} == {3, None}
-    assert corpus_pipeline.near_dedup(spark, docs, SF).count() == 5
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == ["1", "2", "3", "None"]
     assert corpus_pipeline.tokenise(spark, docs, SF).where("round_trip").count() == 4
 
 

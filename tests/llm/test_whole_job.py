@@ -1,46 +1,73 @@
 """What operators once did for a part of the rows, runs or spellings only."""
 
-import random
-import re
-
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from knotwork.llm import licenses, linededup
+from knotwork.llm import langid, licenses, linededup, quality, sampling
 
 
-def without_runs(texts, least):
-    """Texts without any run of units, of least words or more, that occurred before; by all runs there are."""
-    cuts = [re.findall(r"[^\n]+\n", t) for t in texts]
-    seen, gone = {}, set()
-    for i, u in enumerate(cuts):
-        for s in range(len(u)):
-            for e in range(s + 1, len(u) + 1):
-                if sum(len(x.split()) for x in u[s:e]) >= least:
-                    key = tuple(x.strip() for x in u[s:e])
-                    doc, end = seen.setdefault(key, (i, e))
-                    if doc != i or s >= end:
-                        gone |= {(i, j) for j in range(s, e)}
-    return ["".join(x for j, x in enumerate(u) if (i, j) not in gone) for i, u in enumerate(cuts)]
+def test_line_dedup_takes_a_run_to_its_end(spark):
+    passage = "".join(" ".join(f"{lead}{k}" for k in range(n)) + "\n" for lead, n in (("a", 45), ("b", 10), ("c", 10)))
+    df = spark.createDataFrame([(0, passage), (1, "Own line\n" + passage + "another\n")], "doc_id long, text string")
+    assert [r.text for r in linededup.dedup(df).orderBy("doc_id").collect()] == [passage, "Own line\nanother\n"]
 
 
-def deduped(spark, texts, least):
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.text for r in linededup.dedup(df, least=least).orderBy("doc_id").collect()]
+@pytest.mark.parametrize("rows", [10, 10**6, 10**11, 10**15])
+def test_samples_of_any_table(rows):
+    """The share of hashes that are taken follows the table's size down to any share."""
+    share = (sampling.bound(6000, rows) + 2**63) / 2**64
+    assert share == pytest.approx(min(1.0, 6000 / rows), rel=1e-3) and share > 0
 
 
-def test_line_dedup_takes_a_run_to_its_end(spark):
-    passage = "".join(" ".join(f"{lead}{k}" for k in range(n)) + "\n" for lead, n in (("a", 45), ("b", 10), ("c", 10)))
-    assert deduped(spark, [passage, "Own line\n" + passage + "another\n"], 50) == [passage, "Own line\nanother\n"]
+def test_samples_of_repeated_rows(spark):
+    """Null or equal ids, and a text in half of all rows, neither swell nor empty the sample."""
+    prose = "Ein Satz {0} mit Worten und mehr. Noch ein Satz {0} steht hier. Dann folgt {0} das Ende davon."
+    rows = [(None, prose.format("x"))] * 300 + [(None, prose.format(f"w{k}")) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    taken = sampling.chosen(df, sampling.bound(60, 600), 120, "text").collect()
+    assert 10 <= len(taken) <= 60 and len({r.text for r in taken}) == len(taken)
+    assert quality.classify(df, sample=60).where("keep").count() == 600
+    assert quality.classify(df, sample=0).where("keep").count() == 600  # no scorer: the label model decides
+    spoken = df.withColumn("lang", F.when(F.col("text").contains("w1"), "rare").otherwise("de"))
+    assert langid.train(spoken, sample=5, least=20).languages == ["de", "rare"]
 
 
-@pytest.mark.parametrize("least", [1, 8, 20])
-def test_line_dedup_against_all_runs(spark, least):
-    rng = random.Random(least)
-    lines = [" ".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(12)]
-    texts = ["".join(rng.choice(lines) + rng.choice(["\n", ".\n"]) for _ in range(rng.randint(1, 14))) for _ in range(40)]
-    texts += [t + u for t, u in zip(texts[::3], texts[1::3])]
-    assert deduped(spark, texts, least) == without_runs(texts, least)
+PROSE = " ".join(f"Bu {k} ayrı tümce burada sözlerle durur." for k in range(12))
+OTHER = " ".join(f"Une autre phrase {k * 7} se trouve ici encore." for k in range(12))
+
+
+def test_near_dedup_keeps_one_row_of_each_text(spark):
+    rows = [(1, PROSE), (5, PROSE), (5, OTHER), (7, None), (7, ""), (None, PROSE), (None, OTHER + " fin"), (1, PROSE)]
+    for order in (rows, rows[::-1]):
+        out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(order, "doc_id long, text string").repartition(3), "").collect()
+        assert sorted(map(tuple, out), key=str) == sorted([(1, PROSE), (5, OTHER), (7, None), (7, "")], key=str)
+
+
+def test_stages_on_repeated_ids_and_clashing_columns(spark):
+    rows = [(3, PROSE, 9, 1, 0.5, 2), (3, OTHER, 9, 1, 0.5, 2), (None, PROSE, 9, 1, 0.5, 2), (None, OTHER, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row long, component_id long, score double, marks int")
+    sf = "/root/testdata/sf0.001"
+    assert corpus_pipeline.quality_classifier(spark, df, sf).count() == 4
+    assert sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, sf).collect()) == sorted([(3, PROSE), (3, OTHER)])
+    assert corpus_pipeline.decontaminate(spark, df, sf).count() == 4
+    assert {r.doc_id for r in corpus_pipeline.line_dedup(spark, df, sf).collect()} == {None}  # null ids come first, so the others are the repeats
+    assert all(stage(spark, df, sf).columns == df.columns for _, stage in corpus_pipeline.STAGES[:4])
+
+
+def test_remains_of_copies_go(spark):
+    words = [f"söz{k}" for k in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"yeni{k}" for k in range(49)])), (3, " ".join(words[:60] + [f"öz{k}" for k in range(15)])), (4, "kısa")]
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert out == {1: rows[0][1], 3: " ".join(f"öz{k}" for k in range(15)), 4: "kısa"}
+
+
+def test_last_stage_takes_odd_tables(spark):
+    giant = "söz ve ışık " * 9000
+    df = spark.createDataFrame([(1, giant), (1, giant), (None, None), (2, "")], "doc_id long, text string").withColumn("ids", F.lit(1))
+    got = corpus_pipeline.tokenise(spark, df, "").collect()
+    assert len(got) == 4 and sum(r.round_trip is True for r in got) == 3
+    assert corpus_pipeline.tokenise(spark, df.limit(0), "").count() == 0
 
 
 @pytest.mark.parametrize("text", ["All rights\nreserved.", "All rights  reserved.", "// All rights\n// reserved.", "This work is dedicated to the public\ndomain."])
