@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding, with a max-plus parallel scan for giant documents.
 
-Most documents are encoded whole by the library. A giant document is cut into chunks of CHUNK characters, which are encoded apart.
+Documents of up to GIANT characters are encoded whole by the library. A giant document is cut into chunks of CHUNK characters, which are encoded apart.
 The state at a border is the piece that covers the character before it - how far it reaches back and over. For each state at a chunk's start, a forward pass gives
-the best score of reaching each state at its end: a transfer matrix over (max, +). Matrices are combined associatively, the best way through
-the borders is read off, and each chunk traces its pieces back from its two states, independently of the others.
+the best score of reaching each state at its end: a transfer matrix over (max, +). Matrices are combined associatively, FAN neighbours at a time in a tree, so no task has more than FAN of them however long
+the text; the best way through the borders is read off from the tree's top down, and each chunk traces its pieces back from its two states, independently of the others.
 
 For a unigram model a piece weighs its score. For a merge model (BPE), a piece after another weighs 0 if merging the two
 together would leave exactly these two pieces, and minus infinity otherwise: merging is local, so a sequence whose neighbours all agree is
-the one that merging the whole text gives. So both kinds give what the library gives.
+the one that merging the whole text gives. So both kinds give what the library gives. Where no piece of the model goes on over the beginning of a word (a word-begin mark after
+another character), all states are alike there, and a pass goes on word by word, with the words' own pieces remembered.
 
-Null texts have null ids; an empty text has none. Repeated rows are encoded each. Extra columns are passed on by the callers that name them.
+Null texts have null ids; an empty text has none, and both have a row. Repeated rows are encoded each. Ties of scores go to the later start of the last piece. An empty table gives no rows. Only the text and what
+the caller names are read, so other columns may have any names; a named column called ids, n_tokens or round_trip stands beside the result of that name.
 """
 
 from __future__ import annotations
@@ -25,8 +27,11 @@ from pyspark.sql import functions as F
 from knotwork.llm import store
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Texts of more characters are giant; CHUNK must exceed the longest piece.
-GIANT, CHUNK = 1 << 16, 1 << 14
+#: Texts of more characters are giant; CHUNK must exceed the longest piece; matrices that are combined at a time.
+GIANT, CHUNK, FAN = 1 << 15, 1 << 14, 64
+#: Pairs and words that a worker remembers at most.
+REMEMBER = 200_000
+_WORD = "\u2581"
 _NEVER = float("-inf")
 
 
@@ -48,8 +53,11 @@ class Model:
         self.beginnings = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
         self.merges = self._is_merge_model()
         self.unknown = min(self.score.values()) - 10
+        #: whether no piece goes on over a word's beginning
+        self.by_word = all(_WORD not in p.lstrip(_WORD) for p in self.ids)
         self._fits: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
+        self._words: dict[str, tuple[float, list[str]]] = {}
 
     def _is_merge_model(self) -> bool:
         """trainer_spec.model_type of the model's protocol buffer: 2 is BPE; unigram is the default."""
@@ -106,7 +114,7 @@ class Model:
     def fits(self, before: str, piece: str) -> bool:
         known = self._fits.get((before, piece))
         if known is None:
-            if len(self._fits) > 2_000_000:
+            if len(self._fits) > REMEMBER:
                 self._fits.clear()
             known = self._fits[before, piece] = self.merged(before + piece) == [before, piece]
         return known
@@ -127,6 +135,29 @@ class Model:
                 out.append(p)
         return out
 
+    def word(self, word: str) -> tuple[float, list[str]]:
+        """The best score of a word from its beginning to its end, and its pieces."""
+        known = self._words.get(word)
+        if known is None:
+            if self.merges:
+                known = 0.0, self.merged(word)
+            else:
+                best: list[tuple[float, str]] = [(0.0, "")] + [(_NEVER, "")] * len(word)
+                for i in range(len(word)):
+                    for p in self.starting(word, i):
+                        s = best[i][0] + self.weight(None, p)
+                        if s > best[i + len(p)][0]:
+                            best[i + len(p)] = s, p
+                at, pieces = len(word), []
+                while at:
+                    pieces.append(best[at][1])
+                    at -= len(best[at][1])
+                known = best[-1][0], pieces[::-1]
+            if len(self._words) > REMEMBER:
+                self._words.clear()
+            self._words[word] = known
+        return known
+
     def numbers(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
@@ -161,33 +192,55 @@ def states_at(model: Model, text: str, border: int, base: int = 0) -> list[State
     return out
 
 
-def forward(model: Model, text: str, base: int, entry: State | None, stop: int, against: dict | None = None) -> tuple[dict[int, dict[str, tuple[float, str | None]]], bool]:
-    """From an entry state, the reachable (end, piece) with score and the piece before, for pieces that start before stop.
+#: (end, piece): score, and the piece before; or, for a whole word, where the word begins.
+Reach = dict[int, dict[str, tuple[float, "str | int | None"]]]
 
-    against: another entry's result; where both have had the same pieces and the same differences of scores over the longest piece's length, they go on alike, and the pass ends (True).
+
+def forward(model: Model, text: str, base: int, entry: State | None, stop: int, against: Reach | None = None) -> tuple[Reach, float | None]:
+    """From an entry state, the reachable (end, piece) with score and what came before, for pieces that start before stop.
+
+    against: another entry's result; where the two are alike from some place on but for a constant, the pass ends, and that difference of scores is given, too.
     """
-    reach: dict[int, dict[str, tuple[float, str | None]]] = {}
-    at = base if entry is None else entry[1]
-    reach[at] = {"" if entry is None else text[entry[0] - base : entry[1] - base]: (0.0, None)}
-    alike, gap = 0, None
-    for i in range(at, stop):
+    reach: Reach = {}
+    i = base if entry is None else entry[1]
+    reach[i] = {"" if entry is None else text[entry[0] - base : entry[1] - base]: (0.0, None)}
+    begin, alike, gap, size = i, 0, None, len(text)
+    while i < stop:
         here = reach.get(i)
-        if against is not None and i > at:
+        if against is not None and i > begin:
             there = against.get(i)
             if here and there and here.keys() == there.keys():
                 d = {here[p][0] - there[p][0] for p in here}
-                same = len(d) == 1 and (gap is None or d == {gap})
+                alike = alike + 1 if len(d) == 1 and d == {gap} else 0
                 gap = d.pop() if len(d) == 1 else None
-                alike = alike + 1 if same else 0
             elif here or there:
                 alike, gap = 0, None
             else:
                 alike += 1 if gap is not None else 0
             if alike > model.longest:
-                return reach, True
+                return reach, gap
         if not here:
+            i += 1
             continue
-        for p in model.starting(text, i - base):
+        at = i - base
+        if model.by_word and text[at] == _WORD and (at == 0 or text[at - 1] != _WORD) and (at > 0 or base == 0):
+            # a word's beginning: the states here differ by their scores alone
+            last = max(here, key=lambda x: here[x][0])
+            if against is not None and i > begin and against.get(i):
+                return reach, here[last][0] - max(v for v, _ in against[i].values())
+            end = at + 1
+            while end < size and text[end] == _WORD:
+                end += 1
+            end = text.find(_WORD, end)
+            end = size if end < 0 else end
+            # nothing that goes over the border, and no word whose end isn't known
+            if base + end <= stop and end < size:
+                score, pieces = model.word(text[at:end])
+                reach[i] = {last: here[last]}
+                reach[base + end] = {pieces[-1]: (here[last][0] + score, i)}
+                i = base + end
+                continue
+        for p in model.starting(text, at):
             best, came = _NEVER, None
             for before, (score, _) in here.items():
                 w = model.weight(before or None, p)
@@ -197,26 +250,24 @@ def forward(model: Model, text: str, base: int, entry: State | None, stop: int,
                 end = reach.setdefault(i + len(p), {})
                 if p not in end or best > end[p][0]:
                     end[p] = (best, came)
-        if not model.merges and i != at:
+        if not model.merges and i != begin:
             # without merging only the best way to a place matters
             p = max(here, key=lambda x: here[x][0])
             reach[i] = {p: here[p]}
-    return reach, False
+        i += 1
+    return reach, None
 
 
 def transfer(model: Model, text: str, base: int, start: int, stop: int, end: int) -> dict[State | None, dict[State, float]]:
     """A chunk's matrix: for each state at its start (None at the text's start), the states at its end with their best scores."""
     entries: list[State | None] = [None] if start == 0 else list(states_at(model, text, start, base))
     rows: dict[State | None, dict[State, float]] = {}
-    first: dict | None = None
+    first: Reach | None = None
     for entry in entries:
-        reach, joined = forward(model, text, base, entry, stop, first)
+        reach, shift = forward(model, text, base, entry, stop, first)
         row: dict[State, float] = {}
-        if joined and first is not None:
-            # The two go on alike: what the first reaches, shifted by the scores' difference at the last common place.
-            i = max(k for k in reach if k in first and k < stop and reach[k].keys() == first[k].keys())
-            p = next(iter(reach[i]))
-            shift = reach[i][p][0] - first[i][p][0]
+        if shift is not None and first is not None:
+            # The two go on alike: what the first reaches, shifted by the scores' difference.
             row = {s: v + shift for s, v in rows[first_entry].items()}
         else:
             for e, pieces in reach.items():
@@ -243,18 +294,25 @@ def combine(left: dict, right: dict) -> dict:
     return out
 
 
-def choose(matrices: list[dict], end: int) -> list[State]:
-    """The states at the chunks' ends on the best way to the text's end; prefixes are combined from the left."""
-    prefix = [matrices[0]]
-    for m in matrices[1:]:
-        prefix.append(combine({None: prefix[-1][None]}, m))
-    last = {s: v for s, v in prefix[-1][None].items() if s[1] == end}
-    state = max(last, key=lambda s: (last[s], s[0]))
-    out = [state]
+def product(matrices: list[dict]) -> dict:
+    """The product of neighbouring matrices, by a tree of pairs."""
+    while len(matrices) > 1:
+        matrices = [combine(*matrices[k : k + 2]) if k + 1 < len(matrices) else matrices[k] for k in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def choose(matrices: list[dict], entry: State | None, leave: State | None, end: int) -> list[State]:
+    """The states at the matrices' ends on the best way from an entry state to a leaving one; without the latter, to the text's end."""
+    prefix: list[dict[State | None, float]] = [{entry: 0.0}]
+    for m in matrices:
+        prefix.append(combine({None: prefix[-1]}, m)[None])
+    if leave is None:
+        last = {s: v for s, v in prefix[-1].items() if s[1] == end}
+        leave = max(last, key=lambda s: (last[s], s[0]))
+    out = [leave]
     for k in range(len(matrices) - 1, 0, -1):
-        came = [(v + matrices[k][s][state], s) for s, v in prefix[k - 1][None].items() if state in matrices[k].get(s, {})]
-        state = max(came)[1]
-        out.append(state)
+        came = [(v + matrices[k][s][out[-1]], s) for s, v in prefix[k].items() if out[-1] in matrices[k].get(s, {})]
+        out.append(max(came)[1])
     return out[::-1]
 
 
@@ -262,10 +320,14 @@ def trace(model: Model, text: str, base: int, entry: State | None, leave: State,
     """The pieces after the entry state's up to and with the leaving state's."""
     reach, _ = forward(model, text, base, entry, stop)
     at, p = leave[1], text[leave[0] - base : leave[1] - base]
-    pieces = []
+    pieces: list[str] = []
     begin = base if entry is None else entry[1]
     while at > begin:
         came = reach[at][p][1]
+        if isinstance(came, int):
+            pieces += model.word(text[came - base : at - base])[1][::-1]
+            at, p = came, next(iter(reach[came]))
+            continue
         pieces.append(p)
         at -= len(p)
         p = came if came is not None else ""
@@ -288,11 +350,11 @@ def scan_encode(model: Model, text: str, size: int = CHUNK) -> list[int]:
         return []
     parts = chunks(len(t), size, model.longest)
     matrices = [transfer(model, t, 0, a, b, len(t)) for a, b in parts]
-    ways: list[State | None] = [None, *choose(matrices, len(t))]
+    ways: list[State | None] = [None, *choose(matrices, None, None, len(t))]
     return model.numbers([p for k, (_, b) in enumerate(parts) for p in trace(model, t, 0, ways[k], ways[k + 1], b)])
 
 
-def encode(docs: DataFrame, text: str = "text", *more: Column, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, text: str = "text", *more: Column, model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """What `more` names, ids (array<int>), n_tokens, and round_trip: whether decoding gives the text back."""
     given = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(more)), F.col(text).cast("string").alias("text"))
     names = [docs.select(c).columns[0] for c in more]
@@ -326,26 +388,55 @@ def encode(docs: DataFrame, text: str = "text", *more: Column, model: str = MODE
                     base, top = max(0, a - m.longest), min(len(t), b + m.longest)
                     yield pa.RecordBatch.from_pydict({"doc": [number.as_py()], "k": [k], "base": [base], "a": [a], "b": [b], "stop": [len(t)], "piece": [t[base:top]]})
 
+    numbers = lambda *names: pa.schema([(c, pa.int64()) for c in names])
+
+    def flat(m: dict) -> list[float]:
+        return [x for e, row in m.items() for s, v in row.items() for x in (*(e or (-1, -1)), *s, v)]
+
+    def rows_of(cells: list[float]) -> dict:
+        m: dict = {}
+        for x in range(0, len(cells), 5):
+            a, b, c, d, v = cells[x : x + 5]
+            m.setdefault(None if a < 0 else (int(a), int(b)), {})[int(c), int(d)] = v
+        return m
+
+    cells = "doc long, k long, stop long, cells array<double>"
+    kept = numbers("doc", "k", "stop").append(pa.field("cells", pa.list_(pa.float64())))
+
     def matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
             for r in batch.to_pylist():
-                rows = transfer(m, r["piece"], r["base"], r["a"], r["b"], r["stop"])
-                flat = [(-1 if e is None else e[0], -1 if e is None else e[1], s[0], s[1], v) for e, row in rows.items() for s, v in row.items()]
-                yield pa.RecordBatch.from_arrays([pa.array([r["doc"]]), pa.array([r["k"]], pa.int64()), pa.array([r["stop"]], pa.int64()), pa.array([[x for f in flat for x in f]], pa.list_(pa.float64()))], names=["doc", "k", "stop", "cells"])
+                yield pa.RecordBatch.from_pydict({"doc": [r["doc"]], "k": [r["k"]], "stop": [r["stop"]], "cells": [flat(transfer(m, r["piece"], r["base"], r["a"], r["b"], r["stop"]))]}, schema=kept)
+
+    def combined(key: tuple, table: pa.Table) -> pa.Table:
+        rows = table.sort_by("k").to_pylist()
+        return pa.table({"doc": [rows[0]["doc"]], "k": [rows[0]["up"]], "stop": [rows[0]["stop"]], "cells": [flat(product([rows_of(r["cells"]) for r in rows]))]}, schema=kept)
 
     def ways(key: tuple, table: pa.Table) -> pa.Table:
         rows = table.sort_by("k").to_pylist()
-        matrices = []
-        for r in rows:
-            m: dict = {}
-            for x in range(0, len(r["cells"]), 5):
-                a, b, c, d, v = r["cells"][x : x + 5]
-                m.setdefault(None if a < 0 else (int(a), int(b)), {})[int(c), int(d)] = v
-            matrices.append(m)
-        path = choose(matrices, rows[0]["stop"])
-        before = [(-1, -1), *path[:-1]]
-        return pa.table({"doc": [key[0].as_py()] * len(path), "k": list(range(len(path))), "ea": [s[0] for s in before], "eb": [s[1] for s in before], "la": [s[0] for s in path], "lb": [s[1] for s in path]}, schema=pa.schema([(c, pa.int64()) for c in ("doc", "k", "ea", "eb", "la", "lb")]))
+        state = lambda a, b: None if a is None or a < 0 else (a, b)
+        path = choose([rows_of(r["cells"]) for r in rows], state(rows[0]["ea"], rows[0]["eb"]), state(rows[0]["la"], rows[0]["lb"]), rows[0]["stop"])
+        before = [(rows[0]["ea"], rows[0]["eb"]), *path[:-1]]
+        return pa.table({"doc": [r["doc"] for r in rows], "k": [r["k"] for r in rows], "ea": [s[0] for s in before], "eb": [s[1] for s in before], "la": [s[0] for s in path], "lb": [s[1] for s in path]}, schema=numbers("doc", "k", "ea", "eb", "la", "lb"))
+
+    def best_states(pieces: DataFrame, tasks: int, paths: list[str]) -> DataFrame:
+        """(doc, k, ea, eb, la, lb): the states at each chunk's start and end; matrices go up a tree, states down."""
+        up = F.expr(f"k div {fan}").alias("up")
+        level, path = store.keep(pieces.repartition(tasks, "doc", "k").mapInArrow(matrix, cells), "matrices")
+        levels = [level]
+        paths.append(path)
+        while (levels[-1].agg(F.max("k")).first()[0] or 0) >= fan:
+            level, path = store.keep(levels[-1].withColumn("up", up).groupBy("doc", "up").applyInArrow(combined, cells), "matrices")
+            levels.append(level)
+            paths.append(path)
+        states = levels[-1].select("doc").distinct().select("doc", F.lit(0).cast("long").alias("up"), *(F.lit(-1).cast("long").alias(c) for c in ("ea", "eb", "la", "lb")))
+        for level in reversed(levels):
+            states = level.withColumn("up", up).join(states, ["doc", "up"]).groupBy("doc", "up").applyInArrow(ways, "doc long, k long, ea long, eb long, la long, lb long")
+            if level is not levels[0]:
+                states, path = store.keep(states.withColumnRenamed("k", "up"), "states")
+                paths.append(path)
+        return states
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
@@ -361,11 +452,13 @@ def encode(docs: DataFrame, text: str = "text", *more: Column, model: str = MODE
     # many small tasks: a giant's chunks are spread over the cluster
     spread = giants.select("doc", "text").mapInArrow(cut, "doc long, k long, base long, a long, b long, stop long, piece string")
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own, or small chunks are put together in few tasks
-    pieces, _ = store.keep(spread, "chunks")
-    matrices = pieces.repartition(tasks, "doc", "k").mapInArrow(matrix, "doc long, k long, stop long, cells array<double>")
-    chosen = matrices.groupBy("doc").applyInArrow(ways, "doc long, k long, ea long, eb long, la long, lb long")
+    pieces, pieces_path = store.keep(spread, "chunks")
+    paths = [pieces_path]
+    chosen = best_states(pieces, tasks, paths)
     # by another hash than the join's, or the few partitions that it is put together in stay
     traced = pieces.join(chosen, ["doc", "k"]).repartition(tasks, F.xxhash64("doc", "k")).mapInArrow(back, "doc long, k long, part array<int>")
+    traced, _ = store.keep(traced, "pieces")
+    store.drop(docs.sparkSession, *paths)
     joined = traced.groupBy("doc").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])).alias("ids"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

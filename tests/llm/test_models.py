@@ -81,7 +81,7 @@ def test_matrices_are_associative(model):
     parts = sentencepiece_scan.chunks(len(text), 60, model.longest)
     m = [sentencepiece_scan.transfer(model, text, 0, a, b, len(text)) for a, b in parts][:4]
     c = sentencepiece_scan.combine
-    assert c(c(m[0], m[1]), c(m[2], m[3])) == c(m[0], c(m[1], c(m[2], m[3])))
+    assert c(c(m[0], m[1]), c(m[2], m[3])) == c(m[0], c(m[1], c(m[2], m[3]))) == sentencepiece_scan.product(m)
 
 
 def test_unigram_weights(model):
@@ -98,7 +98,7 @@ def test_unigram_weights(model):
             for p in m.starting(t, i):
                 best[i + len(p)] = max(best[i + len(p)], best[i] + m.score.get(p, m.unknown))
         parts = sentencepiece_scan.chunks(len(t), 40, m.longest)
-        ways = [None, *sentencepiece_scan.choose([sentencepiece_scan.transfer(m, t, 0, a, b, len(t)) for a, b in parts], len(t))]
+        ways = [None, *sentencepiece_scan.choose([sentencepiece_scan.transfer(m, t, 0, a, b, len(t)) for a, b in parts], None, None, len(t))]
         pieces = [p for k, (_, b) in enumerate(parts) for p in sentencepiece_scan.trace(m, t, 0, ways[k], ways[k + 1], b)]
         assert "".join(pieces) == t and sum(m.score.get(p, m.unknown) for p in pieces) == pytest.approx(best[-1])
 
@@ -113,6 +113,8 @@ def test_encode_and_decode(spark, model):
     back = {r.doc_id: r.text for r in sentencepiece_scan.decode(out, "ids", F.col("doc_id")).collect()}
     assert back == dict(enumerate(texts))
     assert sentencepiece_scan.encode(df.limit(0), "text", F.col("doc_id")).count() == 0
+    deep = sentencepiece_scan.encode(df.where("doc_id > 2"), "text", F.col("doc_id"), giant=10, chunk=40, fan=2)
+    assert {r.doc_id: r.ids for r in deep.collect()} == {k: model.sp.encode(t) for k, t in enumerate(texts) if k > 2}
 
 
 def spoken(turns):
