@@ -36,7 +36,7 @@ def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "links", "cut")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,12 +165,39 @@ def test_sharding(spark, shards):
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(counts[s])) for s in range(shards))
     by = {r.doc_id or 0: r for r in got}
     assert all(by[k].size == len((t or "").encode()) + 8 and by[k].text_crc32 == zlib.crc32((t or "").encode()) for k, t in enumerate(texts))
-    small = {t for t in texts if t and 1 < texts.count(t) < 5}
-    torn = sum(len({by[k].shard for k, x in enumerate(texts) if x == t}) > 1 for t in small)
+    where = {}
+    for k, t in enumerate(texts):
+        where.setdefault(t, []).append(by[k].shard)
+    del where[None]
+    assert by[0].links == by[1].cut == 0
+    for k, t in enumerate(texts):
+        if t is not None and k:
+            assert (by[k].links, by[k].cut) == (len(where[t]) - 1, sum(s != by[k].shard for s in where[t]))
+    small = [p for t, p in where.items() if 1 < len(p) < 5]
+    torn = sum(len(set(p)) > 1 for p in small)
     assert torn <= 0.1 * len(small) + 1
+    # links that are cut, against a placement by hash
+    cut = sum(len(p) ** 2 - sum(p.count(s) ** 2 for s in set(p)) for p in where.values())
+    chance = sum(len(p) * (len(p) - 1) for p in where.values()) * (1 - 1 / shards)
+    assert cut <= (0.7 if shards == 24 else 0.4) * chance
     assert sharding.shard_documents(df.limit(0), shards).count() == 0
 
 
+def test_sharding_keeps_large_groups_whole(spark):
+    """A text with as many copies as fit in a shard isn't split; a larger one is, into as few parts as need be."""
+    sizes = {"a": 1000, "b": 900, "c": 700, "d": 90, "e": 3}
+    texts = [t for t, n in sizes.items() for _ in range(n)] + ["z" * 70_000] + [f"t{k}" for k in range(4000 - sum(sizes.values()) - 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r for r in sharding.shard_documents(df, 4).collect()}
+    counts = [sum(r.shard == s for r in got.values()) for s in range(4)]
+    assert counts == [1000] * 4
+    places = {t: {got[k].shard for k, x in enumerate(texts) if x == t} for t in sizes}
+    assert all(len(places[t]) == 1 for t in "abcde") and sum(r.cut for r in got.values()) == 0
+    got = {r.doc_id: r for r in sharding.shard_documents(df, 5).collect()}
+    assert all(sum(got[k].shard == s for k in got) == 800 for s in range(5))
+    assert len({got[k].shard for k, x in enumerate(texts) if x == "c"}) == 1
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(size=(3000, 24))
