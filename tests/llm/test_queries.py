@@ -23,7 +23,7 @@ def run(spark, name, key):
 
 def test_license_query(spark, docs):
     got = run(spark, "op1_license_scan", "doc_id")
-    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "Proprietary"}
+    lines = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "All rights reserved.": "Proprietary"}
     want = [",".join(sorted({lines[x] for x in t.split("\n") if x in lines})) for t in docs.text]
     assert got.doc_id.tolist() == docs.doc_id.tolist() and got.licences.tolist() == want
     assert all(set(s.split(",")) <= {*licenses.SENTENCES, ""} for s in got.sentences)

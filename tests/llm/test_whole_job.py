@@ -1,5 +1,7 @@
 """What operators once did for a part of the rows, runs or spellings only."""
 
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,7 +83,7 @@ def test_licenses_over_many_lines(lead):
     text = "\n".join(lead + word for form in known.values() for word in form.split())
     found = licenses.sentences(text + "\n#\n" + lead + "more")
     assert [f[0] for f in found] == list(known)
-    assert [(n, text[a:b]) for n, a, b in licenses.licences(found)] == [("MIT", text)]
+    assert [(n, text[a:b]) for n, a, b in licenses.licences(found, text)] == [("MIT", text)]
 
 
 def test_benchmark_goes_whatever_the_id(spark):
@@ -91,3 +93,52 @@ def test_benchmark_goes_whatever_the_id(spark):
     rows = [(None, item), (1, item), (1, own), (None, f"{own} {item}"), (None, own), (2, None)]
     out = corpus_pipeline.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
     assert sorted(((r.doc_id, r.text and r.text.strip(" .")) for r in out), key=str) == sorted([(1, own), (None, own), (None, own), (2, None)], key=str)
+
+
+def named(text):
+    return [n for n, *_ in licenses.licences(licenses.sentences(text), text)]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+        ("// SPDX-License-Identifier: mit OR apache-2.0", ["Apache-2.0", "MIT"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0+ WITH Classpath-exception-2.0) AND BSD-3-Clause */", ["BSD-3-Clause", "GPL-2.0-or-later"]),
+        ("# SPDX-License-Identifier: GPL-3.0", ["GPL-3.0-only"]),
+        ("SPDX-License-Identifier: LicenseRef-Own", ["LicenseRef-Own"]),
+        ("SPDX-License-Identifier:", []),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby\ngranted, provided that the above copyright notice and this permission notice appear in all copies.", ["ISC"]),
+        ("Foo Bar is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", ["AGPL-3.0-or-later"]),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.", ["GPL-2.0-or-later"]),
+        ("Water is free software in this story.", []),
+    ],
+)
+def test_licence_names(text, want):
+    assert named(f"Before.\n{text}\nAfter") == want
+
+
+@pytest.mark.parametrize("width", [20, 50, 60, 10_000])
+def test_licences_of_any_width(width):
+    """A whole BSD text with a holder's name, at any line width and with any comment leader."""
+    parts = [licenses.SENTENCES[n][0] for n in ("bsd-redist", "bsd-source", "bsd-binary")]
+    parts.append("Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")
+    for lead in ("", "# ", " * "):
+        text = "\n".join(f"{lead}{line}" for p in ["Copyright 2020 A B", *parts] for line in textwrap.wrap(p, width))
+        assert named(text) == ["BSD-3-Clause"], (width, lead)
+    mit = "\n".join(line for n in ("mit-grant", "mit-notice", "asis", "liability") for line in textwrap.wrap(licenses.SENTENCES[n][0], width))
+    assert named(mit) == ["MIT"]
+
+
+def test_every_rule_is_found():
+    for name, rules in licenses.RULES.items():
+        for rule in rules:
+            text = "\n\n".join(licenses.SENTENCES[n][0].replace("*", "Some Name") for n in rule)
+            assert named(text) == [name], rule
+
+
+def test_license_scan_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, "Released under the MIT License.\n" + "word " * 200_000 + "\nAll rights reserved.", "y"), (2, "", "z")], "doc_id long, text string, sentences string")
+    rows = licenses.scan(df, "text", F.col("doc_id")).collect()
+    assert sorted((r.doc_id, [x["name"] for x in r.licences]) for r in rows) == [(1, []), (2, []), (2, ["MIT", "Proprietary"])]
+    assert licenses.scan(df.limit(0), "text", F.col("doc_id")).count() == 0
