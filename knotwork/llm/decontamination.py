@@ -4,16 +4,17 @@ The index is partitioned by document, as search engines do it: each row is a seg
 everything needed to answer a query over its documents - sorted terms, and per term the ascending list of its positions.
 A query needs no shuffle: the test windows go to the segments, and in each of them the posting lists of a
 window's terms, shifted by their offsets in the window, are intersected from the rarest term on.
-The test windows travel in blocks of bounded size, so neither side has to fit in memory.
+The test windows travel in blocks of bounded size (an item longer than a block is cut into overlapping parts), and what was found is written out after each MANY blocks, so neither side has to fit in memory and
+plans don't grow with the benchmark. In a segment, windows go in steps of at most STEP candidate places.
 
-Null or wordless texts: no words, no hits. A null doc_id is kept as such; items without id or text are none. Repeated rows: each row counts for itself. Extra columns are ignored.
+Null or wordless texts: no words, no hits. A null doc_id is kept as such; items without id or text are none, and repeated items one. Repeated rows: each row counts for itself. Very long texts are segments of their own, whole. An empty table
+gives no rows; an empty benchmark hits nothing. There are no ties: all occurrences count. Extra columns are ignored, whatever their names.
 Words are compared by 64-bit hashes (two of a million different words are equal with a chance below 1e-7).
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import defaultdict
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,8 +27,8 @@ from knotwork.llm import store
 from knotwork.llm.textbytes import ALNUM, LOWER, expand, span_hashes, text_slices, words
 
 WINDOW = 13
-#: Words of test items that one block (a broadcast) holds at most; a longer item is a block of its own.
-BLOCK_WORDS = 1 << 18
+#: Words of test items that one block (a broadcast) holds at most; blocks of one plan; candidate places that are looked at at a time.
+BLOCK_WORDS, MANY, STEP = 1 << 18, 16, 1 << 21
 #: Stands for a null doc_id inside the index.
 NO_ID = -(1 << 63)
 INDEX = "doc_ids binary, word_offsets binary, terms binary, term_offsets binary, positions binary"
@@ -81,6 +82,16 @@ class Segment:
 
     def phrases(self, numbers: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, start) of every occurrence; numbers has a row of term numbers for each window, lengths tells how many count."""
+        many = np.where(np.arange(numbers.shape[1]) < lengths[:, None], self.counts(numbers), self.n + 1).min(axis=1)
+        live = np.flatnonzero(many)
+        # in steps: the rarest terms' places may be far more than the words of a segment
+        step = np.cumsum(many[live]) // STEP
+        parts = [self._phrases(live[a:b], numbers, lengths) for a, b in zip(*(lambda c: (c[:-1], c[1:]))([*np.flatnonzero(np.diff(step, prepend=-1)).tolist(), len(live)]), strict=True) if b > a]
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in (0, 1))  # type: ignore[return-value]
+
+    def _phrases(self, chosen: np.ndarray, every: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """phrases() of some windows."""
+        numbers, lengths = every[chosen], sizes[chosen]
         width = numbers.shape[1]
         used = np.arange(width) < lengths[:, None]
         counts = np.where(used, self.counts(numbers), np.iinfo(np.int64).max)
@@ -106,7 +117,7 @@ class Segment:
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             ok = ~counted | (self.pairs[at] == key)
             window, start = window[ok], start[ok]
-        return live[window], start
+        return chosen[live[window]], start
 
     def near(self, numbers: np.ndarray, slop: int) -> np.ndarray:
         """Places of the first of the terms that have each of the other terms within slop words, in the same text; the rarest of the others rule out first."""
@@ -137,18 +148,24 @@ class Windows:
 
 def windows_of(ids: list[int], texts: list[str | None], size: int = WINDOW) -> Windows | None:
     """Windows of size words of each text; of all its words, if it has fewer."""
-    items: dict[tuple[int, ...], set[int]] = defaultdict(set)
-    for i, lo, _, h, first in ((i, lo, hi, h, f) for lo, hi, h, f in hashed(texts) for i in range(hi - lo)):
-        w = h[first[i] : first[i + 1]].tolist()
-        for k in range(max(1, len(w) - size + 1) if w else 0):
-            items[tuple(w[k : k + size])].add(ids[lo + i])
-    if not items:
+    terms, lengths, items = [np.zeros((0, size), np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi, h, first in hashed(texts):
+        for i in range(hi - lo):
+            w = h[first[i] : first[i + 1]]
+            if not len(w):
+                continue
+            n = min(size, len(w))
+            of = np.zeros((len(w) - n + 1, size), np.uint64)
+            of[:, :n] = np.lib.stride_tricks.sliding_window_view(w, n)
+            terms.append(of)
+            lengths.append(np.full(len(of), n))
+            items.append(np.full(len(of), ids[lo + i], np.int64))
+    rows = np.column_stack([np.concatenate(terms), np.concatenate(lengths).astype(np.uint64)])
+    if not len(rows):
         return None
-    keys = sorted(items)
-    terms = np.zeros((len(keys), size), np.uint64)
-    for k, key in enumerate(keys):
-        terms[k, : len(key)] = key
-    return Windows(terms, np.array([len(k) for k in keys]), np.cumsum([0, *(len(items[k]) for k in keys)]), np.array([x for k in keys for x in sorted(items[k])], np.int64))
+    keys, number = np.unique(rows, axis=0, return_inverse=True)
+    pairs = np.unique(np.column_stack([number.reshape(-1), np.concatenate(items)]), axis=0)
+    return Windows(np.ascontiguousarray(keys[:, :size]), keys[:, size].astype(np.int64), np.searchsorted(pairs[:, 0], np.arange(len(keys) + 1)), pairs[:, 1])
 
 
 def hashed(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -158,20 +175,30 @@ def hashed(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield lo, hi, span_hashes(data, starts, ends), first
 
 
-def blocks(items: DataFrame, item_id: str, text: str, most: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str]]]:
-    """The items, as many at a time as have no more words (by a bound: bytes / 2 + 1) than most."""
-    rows, size = [], 0
-    for r in items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null").toLocalIterator(prefetchPartitions=False):
+def blocks(items: DataFrame, item_id: str, text: str, most: int = BLOCK_WORDS, size: int = WINDOW) -> Iterator[list[tuple[int, str]]]:
+    """The items, as many at a time as have no more words (by a bound: bytes / 2 + 1) than most; an item of more comes in parts that share size - 1 words, so each window is in one of them."""
+    rows, held = [], 0
+    given = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    for r in given.toLocalIterator(prefetchPartitions=False):
         n = len(r.t.encode()) // 2 + 1
-        if rows and size + n > most:
-            yield rows
-            rows, size = [], 0
-        rows.append((r.i, r.t))
-        size += n
+        parts = [r.t]
+        if n > most:
+            w = _WORDS.findall(r.t)
+            parts = [" ".join(w[k : k + most + size - 1]) for k in range(0, max(1, len(w) - size + 1), most)]
+            n = min(n, most)
+        for part in parts:
+            if rows and held + n > most:
+                yield rows
+                rows, held = [], 0
+            rows.append((r.i, part))
+            held += n
     if rows:
         yield rows
 
 
+_WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
 def search(index: DataFrame, block: list[tuple[int, str]], size: int = WINDOW, keep_all: bool = True) -> DataFrame:
     """For each document of the index: the merged spans of words that windows of the block's items cover, and these items."""
     found = windows_of([i for i, _ in block], [t for _, t in block], size)
@@ -221,12 +248,21 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     """
     index, _ = store.keep(build_index(docs, doc_id, text), "postings")
     index = index.withColumn("segment", F.monotonically_increasing_id())
-    parts = [search(index, block, size, keep_all=k == 0) for k, block in enumerate(blocks(items, item_id, item_text, block_words))] or [search(index, [], size)]
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", "spans", "items")
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+    parts: list[DataFrame] = []
+
+    def joined() -> DataFrame:
+        done = parts[0]
+        for p in parts[1:]:
+            done = done.unionByName(p)
+        return done
+
+    for k, block in enumerate(blocks(items, item_id, item_text, block_words, size)):
+        if len(parts) == MANY:  # write what was found so far, or the plan grows with the benchmark
+            parts[:] = [store.keep(joined(), "found")[0]]
+        parts.append(search(index, block, size, keep_all=k == 0))
+    if len(parts) < 2:
+        return (parts or [search(index, [], size)])[0].select("doc_id", "n_words", "spans", "items")
+    union = joined()
     merged = """aggregate(array_sort(flatten(collect_list(spans))), cast(array() as array<struct<start:bigint,stop:bigint>>), (a, s) ->
         case when size(a) > 0 and element_at(a, -1).stop >= s.start
         then concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, s.stop))))
