@@ -11,9 +11,11 @@ A pair at the threshold s is missed by one tree with a chance of 1 - s at most w
 (0.2 at 0.8), so by 12 trees with 4e-9, plus about 1e-6 for the sketch; pairs that are split further still have each level's 1 - (1 - s)**branches.
 
 In large nodes only a spanning set of pairs is confirmed first; then the pairs between what is not yet connected. So all components are as if all pairs had been linked.
+Pairs are confirmed on both texts' whole sets, of 64-bit shingle hashes; a class with more than HUB partners meets them in groups of about HUB, so no task has all pairs of a hub. What is left quadratic is the comparison by sketches inside nodes that are still large at the
+greatest depth: more than LEAF different sets that all agree in seven tokens.
 
 Null or wordless texts have an empty set and link with nothing. A null doc_id links with nothing and is kept. Rows that
-repeat a doc_id count each by their own text. Ties don't matter: the smallest doc_id stands for a group. Extra columns are ignored.
+repeat a doc_id count each by their own text. Ties don't matter: the smallest doc_id stands for a group. Very long texts are compared whole. An empty table gives no rows. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm import store
+from knotwork.llm import sampling, store
 from knotwork.llm.components import components
 from knotwork.llm.textbytes import LOWER, NONSPACE, gram_hashes, mix, span_hashes, text_slices, words
 
@@ -33,6 +35,8 @@ TOKENS, TREES, BRANCHES, DEPTH = 64, 12, 2, 6
 LEAF = 1024
 #: Nodes up to this size give all their candidate pairs at once.
 SMALL = 16
+#: Partners of a class that its text is sent to at a time.
+HUB = 256
 #: Of TOKENS, as many must agree for a pair to be confirmed; for a similarity of 0.8 fewer do with a chance of 1e-6.
 AGREE = 34
 
@@ -213,8 +217,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known, known_path = store.keep(sketches(docs, doc_id, text, n), "sketches", "lz4")
     key = ["n_shingles", "h1", "h2"]
-    classes, class_path = store.keep(known.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("tokens").alias("tokens")), "classes", "lz4")
-    members, member_path = store.keep(known.join(classes.select(*key, "rep"), key, "left").select("doc_id", "n_shingles", "rep"), "members")
+    classes, class_path = store.keep(known.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.max("tokens").alias("tokens"), F.count("*").alias("copies")), "classes", "lz4")
+    # copies of one text may be a third of all rows; what has no class isn't joined at all
+    held = sampling.join_split(known.where("n_shingles > 0 and doc_id is not null").select("doc_id", *key), classes.select(*key, "rep", "copies"), key, known.count(), "copies")
+    bare = known.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("rep"))
+    members, _ = store.keep(held.select("doc_id", "n_shingles", "rep").unionByName(bare), "members")
     store.drop(spark, known_path)
     by_rep = classes.select("rep", "n_shingles", "tokens")
 
@@ -244,17 +251,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         grouped = full.groupBy("node").agg(F.collect_list(F.struct("rep", "n_shingles", "comp", "tokens")).alias("m")).select("m")
         return grouped.mapInArrow(_compare(similarity, labels is None), "a long, b long").distinct()
 
-    def confirmed(pairs: DataFrame) -> tuple[DataFrame, str]:
-        with_a = pairs.join(texts.toDF("a", "text_a"), "a")
-        both = with_a.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
-        return store.keep(both.mapInArrow(_confirm(n, percent), "a long, b long").distinct(), "links")
-
-    links, _ = confirmed(compared(rows, None))
+    def confirmed(found: DataFrame) -> tuple[DataFrame, str]:
+        pairs, pairs_path = store.keep(found, "pairs", "lz4")
+        groups = pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / HUB).alias("groups"))
+        groups, groups_path = store.keep(groups.where("groups > 1"), "hubs", "lz4")
+        of_hubs = sampling.join_split(pairs, groups, ["a"], pairs.count(), "n").select("a", "b", F.expr("pmod(xxhash64(b), groups)").alias("part"))
+        others = pairs.join(groups, "a", "left_anti") if groups.limit(1).count() else pairs
+        split = of_hubs.unionByName(others.select("a", "b", F.lit(0).cast("long").alias("part")))
+        sides = split.select("a", "part").distinct().join(texts.toDF("a", "text_a"), "a")
+        both = split.join(texts.toDF("b", "text_b"), "b").join(sides, ["a", "part"]).select("a", "b", "text_a", "text_b")
+        links, path = store.keep(both.mapInArrow(_confirm(n, percent), "a long, b long").distinct(), "links")
+        store.drop(spark, pairs_path, groups_path)
+        return links, path
+
+    links, links_path = confirmed(compared(rows, None))
     labels = components(links)
     if rows.where(f"members > {SMALL}").limit(1).count():
         more, more_path = confirmed(compared(rows.where(f"members > {SMALL}"), labels))
         if more.limit(1).count():
             labels = components(links.union(more))
+        store.drop(spark, more_path)
+    store.drop(spark, links_path, class_path)
     store.drop(spark, *paths)
     out = members.join(labels.toDF("rep", "component"), "rep", "left").select("doc_id", "n_shingles", F.expr("if(doc_id is null, null, coalesce(component, rep, doc_id))").alias("component_id"))
     return out.withColumn("kept", F.expr("doc_id is null or doc_id = component_id"))

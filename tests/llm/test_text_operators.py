@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from knotwork.llm import components, decontamination, licenses, linededup, neardup, textbytes
+from knotwork.llm import components, decontamination, licenses, linededup, neardup, sampling, textbytes
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -60,12 +60,14 @@ def contaminated(texts, items, size=13):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 18, 20])
-def test_decontamination(spark, block):
+@pytest.mark.parametrize(("block", "many", "step"), [(1 << 18, 16, 1 << 21), (20, 3, 7)])
+def test_decontamination(spark, monkeypatch, block, many, step):
+    monkeypatch.setattr(decontamination, "MANY", many)
+    monkeypatch.setattr(decontamination, "STEP", step)
     rng = random.Random(3)
     vocab = ["the", "of", "Ab", "cé", "d9", "e", "f"]
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
-    items = [(k, text(rng.choice([1, 3, 13, 14, 20]) if k < 8 else 16)) for k in range(12)] + [(3, text(15)), (50, None), (51, " ..."), (100, "only-here")]
+    items = [(k, text(rng.choice([1, 3, 13, 14, 20]) if k < 8 else 16)) for k in range(12)] + [(3, text(15)), (60, text(90)), (60, text(90)), (50, None), (51, " ..."), (100, "only-here")]
     texts = [None, "", "...", "only here, ONLY HERE", *(text(rng.randint(1, 60)) for _ in range(20)), *(f"{text(9)}. {t}! {text(4)}" for _, t in items if t)]
     got = decontamination.digest(decontamination.contamination(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_words=block))
     assert {r.doc_id: tuple(r[c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) for r in got.collect()} == contaminated(texts, items)
@@ -128,8 +130,10 @@ def near(texts, n, percent):
     return {k: (len(s), find(k), find(k) == k) for k, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize(("leaf", "depth"), [(1024, 6), (6, 2), (4, 6)])
-def test_near_duplicates(spark, leaf, depth):
+@pytest.mark.parametrize(("leaf", "depth", "hub"), [(1024, 6, 256), (6, 2, 256), (4, 6, 3)])
+def test_near_duplicates(spark, monkeypatch, leaf, depth, hub):
+    monkeypatch.setattr(neardup, "HUB", hub)
+    monkeypatch.setattr(sampling, "HOT", 20)
     rng = random.Random(leaf)
     vocab = [f"w{k}" for k in range(400)]
     texts = [None, "", " \n", "One", "one", "one two", "ONE\ttwo"]
