@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding, with a max-plus parallel scan for giant documents.
 
-Documents of up to GIANT characters are encoded whole by the library. A giant document is cut into chunks of CHUNK characters, which are encoded apart.
+Documents of up to GIANT characters are encoded whole by the library. A giant document is cut into chunks of CHUNK characters, which are encoded apart: those of up to FAN chunks one after the other where the document is, those
+of larger documents spread over the cluster.
 The state at a border is the piece that covers the character before it - how far it reaches back and over. For each state at a chunk's start, a forward pass gives
 the best score of reaching each state at its end: a transfer matrix over (max, +). Matrices are combined associatively, FAN neighbours at a time in a tree, so no task has more than FAN of them however long
 the text; the best way through the borders is read off from the tree's top down, and each chunk traces its pieces back from its two states, independently of the others.
@@ -8,7 +9,7 @@ the text; the best way through the borders is read off from the tree's top down,
 For a unigram model a piece weighs its score. For a merge model (BPE), a piece after another weighs 0 if merging the two
 together would leave exactly these two pieces, and minus infinity otherwise: merging is local, so a sequence whose neighbours all agree is
 the one that merging the whole text gives. So both kinds give what the library gives. Where no piece of the model goes on over the beginning of a word (a word-begin mark after
-another character), all states are alike there, and a pass goes on word by word, with the words' own pieces remembered.
+another character), all states are alike there, so a pass goes from a chunk's first whole word to its last at once, with the words' own scores (all 0 in a merge model) and pieces, which are remembered.
 
 Null texts have null ids; an empty text has none, and both have a row. Repeated rows are encoded each. Ties of scores go to the later start of the last piece. An empty table gives no rows. Only the text and what
 the caller names are read, so other columns may have any names; a named column called ids, n_tokens or round_trip stands beside the result of that name.
@@ -16,6 +17,7 @@ the caller names are read, so other columns may have any names; a named column c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,10 +30,11 @@ from knotwork.llm import store
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters are giant; CHUNK must exceed the longest piece; matrices that are combined at a time.
-GIANT, CHUNK, FAN = 1 << 15, 1 << 14, 64
+GIANT, CHUNK, FAN = 1 << 14, 1 << 12, 64
 #: Pairs and words that a worker remembers at most.
 REMEMBER = 200_000
 _WORD = "\u2581"
+_WORDS = re.compile(f"{_WORD}+[^{_WORD}]*")
 _NEVER = float("-inf")
 
 
@@ -92,16 +95,16 @@ class Model:
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging leaves: again and again the leftmost of the best-scored neighbours becomes one piece."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = _NEVER, -1
-            for k in range(len(parts) - 1):
-                s = self.score.get(parts[k] + parts[k + 1])
-                if s is not None and s > best:
-                    best, at = s, k
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, get = list(text), self.score.get
+        scores = [get(a + b, _NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (best := max(scores)) > _NEVER:
+            k = scores.index(best)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del scores[k]
+            if k:
+                scores[k - 1] = get(parts[k - 1] + parts[k], _NEVER)
+            if k < len(scores):
+                scores[k] = get(parts[k] + parts[k + 1], _NEVER)
         return parts
 
     def is_whole(self, piece: str) -> bool:
@@ -192,10 +195,18 @@ def states_at(model: Model, text: str, border: int, base: int = 0) -> list[State
     return out
 
 
-#: (end, piece): score, and the piece before; or, for a whole word, where the word begins.
+#: (end, piece): score, and the piece before; or, after whole words, where the first of them begins.
 Reach = dict[int, dict[str, tuple[float, "str | int | None"]]]
 
 
+def _last_word(text: str, end: int) -> int:
+    """Where the word begins that ends here."""
+    at = text.rfind(_WORD, 0, end)
+    while at > 0 and text[at - 1] == _WORD:
+        at -= 1
+    return at
+
+
 def forward(model: Model, text: str, base: int, entry: State | None, stop: int, against: Reach | None = None) -> tuple[Reach, float | None]:
     """From an entry state, the reachable (end, piece) with score and what came before, for pieces that start before stop.
 
@@ -204,8 +215,8 @@ def forward(model: Model, text: str, base: int, entry: State | None, stop: int,
     reach: Reach = {}
     i = base if entry is None else entry[1]
     reach[i] = {"" if entry is None else text[entry[0] - base : entry[1] - base]: (0.0, None)}
-    begin, alike, gap, size = i, 0, None, len(text)
-    while i < stop:
+    begin, far, alike, gap, size = i, i, 0, None, len(text)
+    while i < stop and i <= far:  # far: what is reached at all; some entries lead nowhere
         here = reach.get(i)
         if against is not None and i > begin:
             there = against.get(i)
@@ -228,17 +239,15 @@ def forward(model: Model, text: str, base: int, entry: State | None, stop: int,
             last = max(here, key=lambda x: here[x][0])
             if against is not None and i > begin and against.get(i):
                 return reach, here[last][0] - max(v for v, _ in against[i].values())
-            end = at + 1
-            while end < size and text[end] == _WORD:
-                end += 1
-            end = text.find(_WORD, end)
-            end = size if end < 0 else end
-            # nothing that goes over the border, and no word whose end isn't known
-            if base + end <= stop and end < size:
-                score, pieces = model.word(text[at:end])
+            # the last word that begins at the border or before it, and whose beginning is known; what is between is whole words
+            end = text.rfind(_WORD, at, min(stop - base, size - 1) + 1)
+            while end > at and text[end - 1] == _WORD:
+                end -= 1
+            if end > at:
+                score = sum(model.word(w)[0] for w in _WORDS.findall(text, at, end)) if not model.merges else 0.0
                 reach[i] = {last: here[last]}
-                reach[base + end] = {pieces[-1]: (here[last][0] + score, i)}
-                i = base + end
+                reach[base + end] = {model.word(text[_last_word(text, end) : end])[1][-1]: (here[last][0] + score, i)}
+                i = far = base + end
                 continue
         for p in model.starting(text, at):
             best, came = _NEVER, None
@@ -247,6 +256,7 @@ def forward(model: Model, text: str, base: int, entry: State | None, stop: int,
                 if score + w > best:
                     best, came = score + w, before
             if best > _NEVER:
+                far = max(far, i + len(p))
                 end = reach.setdefault(i + len(p), {})
                 if p not in end or best > end[p][0]:
                     end[p] = (best, came)
@@ -325,7 +335,7 @@ def trace(model: Model, text: str, base: int, entry: State | None, leave: State,
     while at > begin:
         came = reach[at][p][1]
         if isinstance(came, int):
-            pieces += model.word(text[came - base : at - base])[1][::-1]
+            pieces += [p for w in _WORDS.findall(text, came - base, at - base) for p in model.word(w)[1]][::-1]
             at, p = came, next(iter(reach[came]))
             continue
         pieces.append(p)
@@ -344,7 +354,7 @@ def chunks(length: int, size: int, longest: int) -> list[tuple[int, int]]:
 
 
 def scan_encode(model: Model, text: str, size: int = CHUNK) -> list[int]:
-    """The whole scan in one process; for tests, and to show the steps."""
+    """The whole scan in one task."""
     t = model.normalised(text)
     if not t:
         return []
@@ -377,7 +387,18 @@ def encode(docs: DataFrame, text: str = "text", *more: Column, model: str = MODE
     size = F.char_length("text")
     common = given.where(F.coalesce(size, F.lit(0)) <= giant).mapInArrow(whole, out)
 
-    # Giants: a row for each chunk, with a margin for the pieces over its borders.
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(model)
+        for batch in batches:
+            for k in range(len(batch)):
+                part = batch.slice(k, 1)
+                t = part.column(part.num_columns - 1)[0].as_py()
+                ids = scan_encode(m, t, chunk)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([ids], pa.list_(pa.int32())), pa.array([len(ids)], pa.int64()), pa.array([m.sp.decode(ids) == t])], names=[*part.schema.names[:-1], "ids", "n_tokens", "round_trip"])
+
+    common = common.unionByName(given.where((size > giant) & (size <= fan * chunk)).mapInArrow(scanned, out))
+
+    # Giants of more chunks: a row for each chunk, with a margin for the pieces over its borders.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(model)
         for batch in batches:
@@ -446,7 +467,7 @@ def encode(docs: DataFrame, text: str = "text", *more: Column, model: str = MODE
                 ids = m.numbers(trace(m, r["piece"], r["base"], entry, (r["la"], r["lb"]), r["b"]))
                 yield pa.RecordBatch.from_arrays([pa.array([r["doc"]]), pa.array([r["k"]], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["doc", "k", "part"])
 
-    giants, _ = store.keep(given.where(size > giant).withColumn("doc", F.monotonically_increasing_id()), "giants")
+    giants, _ = store.keep(given.where((size > giant) & (size > fan * chunk)).withColumn("doc", F.monotonically_increasing_id()), "giants")
     if not giants.limit(1).count():
         return common.toDF(*names, "ids", "n_tokens", "round_trip")
     # many small tasks: a giant's chunks are spread over the cluster
