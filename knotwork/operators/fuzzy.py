@@ -1,12 +1,15 @@
 """Fuzzy entity clusters, and the relations that members of one cluster disagree on.
 
-Similar pairs come from a lossless filter, not from comparing all: two strings with an Indel ratio of t differ by at most d = (100 - t) / 100 * (|a| + |b|)
-insertions and deletions, each of which changes at most two bigrams; so among the 2d + 1 rarest bigrams of one there is one of the other's. Lengths
-must be in a band, too. What is left is scored exactly.
+Similar pairs come from a lossless filter at every threshold, not from comparing all. Two strings with an Indel ratio of t differ by at most d = (100 - t) / 100 * (|a| + |b|)
+insertions and deletions, each of which changes at most two bigrams; so if the longer one has more than 2d bigrams, among the 2d + 1 rarest bigrams of one there is one of the other's. Where strings are so short, or t so low, that
+it may have fewer, single characters serve: of a's characters at least t * |a| / (200 - t) are common to both, so among its rarest others plus one there is one of b's rarest. Strings meet by gram and by
+class of length, as lengths must be in a band, too. What is left is scored exactly.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,26 +19,42 @@ from knotwork.functions.text import normalise_entity
 from knotwork.plans.lineage import drop, keep
 
 
-def _prefixes(names: DataFrame, threshold: int) -> DataFrame:
-    """(norm, len, gram): the rarest bigrams of each string; an n-th use of a bigram in a string is another one. Strings of one character never need any."""
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.col("len") - 1, F.lit(1))), lambda k: F.substring("norm", k, F.lit(2)))
-    one = names.where("len > 1").select("norm", "len", F.explode(grams).alias("g"))
+def _rarest(names: DataFrame, size: int, most: str) -> DataFrame:
+    """(norm, len, gram): the `most` (SQL) rarest grams of each string; an n-th use of a gram in a string is another one."""
+    grams = F.transform(F.sequence(F.lit(1), F.col("len") - (size - 1)), lambda k: F.substring("norm", k, F.lit(size)))
+    one = names.where(F.col("len") >= size).select("norm", "len", F.explode(grams).alias("g"))
     numbered = one.withColumn("gram", F.concat_ws("\u0001", "g", F.row_number().over(W.partitionBy("norm", "g").orderBy("g"))))
     counts = numbered.groupBy("gram").agg(F.count("*").alias("df"))
-    # The longest partner has len * (200 - t) / t characters.
-    most = F.floor((100 - threshold) * F.col("len") * F.lit(200) / threshold / 100)
     ranked = numbered.join(counts, "gram").withColumn("k", F.row_number().over(W.partitionBy("norm").orderBy("df", "gram")))
-    return ranked.where(F.col("k") <= 2 * most + 1).select("norm", "len", "gram")
+    return ranked.where(f"k <= {most}").select("norm", "len", "gram")
+
+
+def _prefixes(names: DataFrame, threshold: int) -> DataFrame:
+    """(norm, len, gram) of names(norm, len): what two similar strings must share one of. All numbers are whole, so nothing is lost by rounding."""
+    t, rest = threshold, 100 - threshold
+    # d for the longest partner, which has len * (200 - t) / t characters
+    edits = f"(({rest} * len * 200) div ({t} * 100))"
+    bigrams = _rarest(names, 2, f"2 * {edits} + 1")
+    # a partner of length x with which the longer one's bigrams may all change
+    shortest, longest = f"greatest(1, (len * {t} + {199 - t}) div {200 - t})", f"(len * {200 - t}) div {t}"
+    short = F.expr(f"exists(sequence({shortest}, greatest({shortest}, {longest})), x -> greatest(len, x) - 1 <= 2 * (({rest} * (len + x)) div 100))")
+    single = _rarest(names.where("len > 0").where(short), 1, f"len - (({t} * len + {199 - t}) div {200 - t}) + 1")
+    return bigrams.unionByName(single)
 
 
 def similar_names(names: DataFrame, threshold: int = 85) -> DataFrame:
-    """(a, b, score) with a < b for all pairs of distinct strings in names(norm) with an Indel ratio of threshold or more."""
+    """(a, b, score) with a < b for all pairs of distinct strings in names(norm) with an Indel ratio of threshold (a whole number of 1 to 100) or more."""
+    if not 1 <= threshold <= 100 or threshold != int(threshold):
+        raise ValueError(f"a threshold is a whole number from 1 to 100, not {threshold}")
     sized = names.select("norm").distinct().withColumn("len", F.char_length("norm"))
     prefix, path = keep(_prefixes(sized, threshold), "prefixes")
-    a = prefix.toDF("a", "la", "gram")
-    b = prefix.toDF("b", "lb", "gram")
+    # lengths in the band are in one class or the next: a class is a little wider than the band
+    width = math.log((200 - threshold) / threshold * 1.01 + 0.01)
+    prefix = prefix.withColumn("c", F.floor(F.log("len") / width).cast("int"))
+    a = prefix.toDF("a", "la", "gram", "c")
+    b = prefix.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).toDF("b", "lb", "gram", "c")
     band = F.greatest("la", "lb") * threshold <= F.least("la", "lb") * (200 - threshold)
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & band).select("a", "b", "la", "lb").distinct()
+    pairs = a.join(b, ["gram", "c"]).where((F.col("a") < F.col("b")) & band).select("a", "b", "la", "lb").distinct()
     scored = pairs.withColumn("common", lcs("a", "b")).where(F.expr(f"200 * common >= {threshold} * (la + lb)"))
     return scored.select("a", "b", (200 * F.col("common") / (F.col("la") + F.col("lb"))).alias("score"))
 
@@ -54,6 +73,7 @@ def similar_entities(entities: DataFrame, threshold: int = 85) -> DataFrame:
 def seeds(entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """(entity) of the greedy choice in ascending order: each entity that is similar to no chosen one before it.
 
+    That order is the result's own, so a chain of names, each similar to the next, takes half as many rounds as it has names; pairs by chance take few.
     By rounds: every undecided entity that is less than all its undecided neighbours is chosen, and its neighbours are out; this gives the same as going one by one.
     """
     spark = entities.sparkSession
