@@ -51,17 +51,16 @@ def entities(triples: DataFrame) -> DataFrame:
 
 
 def coverage(triples: DataFrame, merged: DataFrame) -> DataFrame:
-    """One row: percent of the original's entities, relations and triples that the merged table (arrays) still has, and counts."""
-    flat = merged.select("head", "tail", F.explode("relation").alias("relation"))
-    known = lambda df, kind, *c: df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*c)).alias("key"))
-    empty = triples.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("head", "relation", "tail")))
-    tagged = None
-    for df, side in ((empty, "was"), (flat, "now")):
-        parts = [known(entities(df if side == "was" else merged.select("head", "tail")), "entity", "entity"), known(df, "relation", "relation"), known(df, "triple", "head", "relation", "tail")]
-        for p in parts:
-            p = p.withColumn("side", F.lit(side))
-            tagged = p if tagged is None else tagged.unionByName(p)
-    keys = tagged.groupBy("kind", "key").agg(F.max(F.expr("side = 'was'")).alias("was"), F.max(F.expr("side = 'now'")).alias("now"))
+    """One row: percent of the original's entities, relations and triples that the merged table (arrays) still has, and counts. Each table is read once; a missing field counts as empty."""
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    none = F.lit(None).cast("string")
+    key = lambda kind, a, b=none, c=none: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), c.alias("c"))
+    head, tail, relation = (empty(c) for c in ("head", "tail", "relation"))
+    was = triples.select(F.explode(F.array(key("entity", head), key("entity", tail), key("relation", relation), key("triple", head, relation, tail))).alias("k"), F.lit(True).alias("was"), F.lit(False).alias("now"))
+    each = lambda of: F.transform("relation", of)
+    kept = F.flatten(F.array(F.array(key("entity", head), key("entity", tail)), each(lambda r: key("relation", r)), each(lambda r: key("triple", head, r, tail))))
+    now = merged.select(F.explode(kept).alias("k"), F.lit(False).alias("was"), F.lit(True).alias("now"))
+    keys = was.unionByName(now).select("k.*", "was", "now").groupBy("kind", "a", "b", "c").agg(F.max("was").alias("was"), F.max("now").alias("now"))
     n = lambda cond: F.count(F.when(F.expr(cond), 1))
     share = lambda kind: F.when(n(f"kind = '{kind}' and was") > 0, F.round(n(f"kind = '{kind}' and was and now") * 100 / n(f"kind = '{kind}' and was"), 4)).otherwise(0.0)
     return keys.agg(
