@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.plans.schema import JOINER
 
-#: Mention markup: what writes it, and an older dialect.
+#: Mention markup: what writes it, and an older dialect. These patterns are the files' formats, so they read as the formats are.
 ENTITY, LINK = "PossibleEntity", "URL"
 
 
@@ -17,7 +17,7 @@ def markup(name: str, url: str) -> str:
 
 
 MENTION = markup("(.*?)", "(.*?)")
-LEGACY = "___E:" + "(.*?)" + r" U:[(]((?:http|https)://[^)]+)[)]___"
+LEGACY = r"___E:(.*?) U:\((https?://[^\)]+)\)___"
 TITLE_SUFFIX, NO_TITLE = " - Vikipedi", "Başlık Bulunamadı"
 
 
