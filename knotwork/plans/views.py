@@ -52,7 +52,7 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mention_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A marked-up sentence for each anchor: (page_id, title, sent_id, sentence)."""
-    sentence = F.concat(F.lit("See <PossibleEntity>"), "name", F.lit("</PossibleEntity> <URL>:("), F.lower("href"), F.lit(")</URL> now."))
+    sentence = F.concat(F.lit("See <PossibleEntity>"), "name", F.lit("</PossibleEntity> <URL>:("), F.lower("href"), F.lit(")</URL> on "), F.col("k").cast("string"), F.lit("."))
     return anchors(spark, sf_dir).select("page_id", "title", F.concat(F.col("page_id").cast("string"), F.lit("#"), F.lpad(F.col("k").cast("string"), 4, "0")).alias("sent_id"), sentence.alias("sentence"))
 
 
@@ -67,13 +67,13 @@ def triples_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """customer -> part -> supplier, and supplier -> part for parts whose key ends in 7 only (as the SQL of bfs_depth has it), as (src, dst)."""
+    """customer -> part -> supplier -> part, as (src, dst)."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
     bought = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(name("c", "o_custkey").alias("src"), name("p", "l_partkey").alias("dst"))
     made = items.select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst"))
-    back = items.select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst")).where("dst like '%7'")
+    back = items.select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"))
     return bought.union(made).union(back).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions.text import q_number, strip
+from knotwork.plans.lineage import file_system
 from knotwork.plans.schema import TURKISH
 
 _FILE = "array<struct<" + ", ".join(f"`{k}`: string" for k in TURKISH) + ">>"
@@ -14,9 +15,7 @@ PAGE = "Title string, Card map<string,string>, Main array<struct<id:string,sente
 
 def existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """The paths that are there, in whatever file system they name."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return [p for p in paths if (q := hadoop.Path(p)).getFileSystem(conf).exists(q)]
+    return [p for p in paths if (there := file_system(spark, p))[1].exists(there[0])]
 
 
 def _stem(ext: str):

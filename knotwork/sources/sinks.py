@@ -1,17 +1,20 @@
-"""Sinks. Tables are written where they are, in many files; single small files (a JSON list, CSV with a byte-order mark, GEXF) are streamed through the driver, row by row."""
+"""Sinks. Tables are written where they are, in many files; single small files (a JSON list, CSV with a byte-order mark, GEXF) are streamed through the driver, row by row, to whatever file system their path names."""
 
 from __future__ import annotations
 
+import codecs
 import csv
 import json
+import os
 from collections.abc import Iterator
-from pathlib import Path
+from contextlib import contextmanager
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.operators.extraction import clean_output
+from knotwork.plans.lineage import file_system
 from knotwork.plans.schema import to_edge
 
 
@@ -25,9 +28,40 @@ def _objects(df: DataFrame) -> Iterator[dict]:
         yield json.loads(r.j)
 
 
+class _Text:
+    """Text to a Hadoop output stream, some hundred KB at a time."""
+
+    def __init__(self, out):
+        self.out, self.held, self.size = out, [], 0
+
+    def write(self, text: str) -> None:
+        self.held.append(text)
+        self.size += len(text)
+        if self.size > 1 << 19:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.out.write("".join(self.held).encode())
+        self.held, self.size = [], 0
+
+
+@contextmanager
+def writing(spark: SparkSession, file: str) -> Iterator[_Text]:
+    """A text file (UTF-8) in whatever file system its path names; an existing one is replaced."""
+    p, fs = file_system(spark, file)
+    out = fs.create(p, True)
+    try:
+        text = _Text(out)
+        yield text
+        text.flush()
+    finally:
+        out.close()
+
+
 def write_json_list(df: DataFrame, file: str, indent: int = 4) -> None:
     """One file with a JSON list, in df's order; null fields are left out."""
-    with Path(file).open("w", encoding="utf-8") as out:
+    with writing(df.sparkSession, file) as out:
         out.write("[")
         for k, row in enumerate(_objects(df)):
             out.write(("," if k else "") + "\n" + json.dumps(row, ensure_ascii=False, indent=indent))
@@ -38,7 +72,8 @@ def write_statistics(statistics: DataFrame, file: str) -> None:
     """The one row of merge statistics as a nested document."""
     s = next(_objects(statistics))
     doc = {"merge_statistics": {k: s[k] for k in s if k.endswith(("records", "count"))}, "merge_efficiency": {k: s[k] for k in s if k.endswith("reduction")}}
-    Path(file).write_text(json.dumps(doc, ensure_ascii=False, indent=4), encoding="utf-8")
+    with writing(statistics.sparkSession, file) as out:
+        out.write(json.dumps(doc, ensure_ascii=False, indent=4))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -47,7 +82,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_csv_file(df: DataFrame, file: str) -> None:
     """One CSV file with a byte-order mark, without an index."""
-    with Path(file).open("w", encoding="utf-8-sig", newline="") as out:
+    with writing(df.sparkSession, file) as out:
+        out.write(codecs.BOM_UTF8.decode())
         w = csv.writer(out)
         w.writerow(df.columns)
         w.writerows(df.toLocalIterator())
@@ -55,8 +91,7 @@ def write_csv_file(df: DataFrame, file: str) -> None:
 
 def clean_name(file: str) -> str:
     """Where the six-field form of a result file goes."""
-    p = Path(file)
-    return str(p.with_name(f"{p.stem}_clean.json"))
+    return f"{os.path.splitext(file)[0]}_clean.json"
 
 
 def write_clean(triples: DataFrame, file: str) -> str:
@@ -72,7 +107,7 @@ def write_ids(ids: DataFrame, path: str) -> None:
 
 def write_gexf(nodes: DataFrame, edges: DataFrame, file: str) -> None:
     """A graph as GEXF 1.2, with labels and each edge's property; parallel edges stay."""
-    with Path(file).open("w", encoding="utf-8") as out:
+    with writing(nodes.sparkSession, file) as out:
         out.write('<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n<graph defaultedgetype="directed">\n<attributes class="edge"><attribute id="0" title="property" type="string"/></attributes>\n<nodes>\n')
         for n in nodes.select("id", "label").toLocalIterator():
             out.write(f"<node id={quoteattr(n.id)} label={quoteattr(n.label)}/>\n")
