@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from knotwork.functions import html as H
 from knotwork.functions import sentences as S
 from knotwork.functions import text as T
+from knotwork import runs
 from knotwork.operators import extraction, frequency, fuzzy, graph, merge, quality, sets, statistics, wikidata
 from knotwork.plans import views
+from knotwork.plans.lineage import keep, scratch
+from knotwork.plans.schema import to_edge
+from knotwork.sources import readers, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -41,12 +45,12 @@ ST = """st AS (
 EVM = """mg AS (SELECT head, tail, string_agg(DISTINCT relation, ', ' ORDER BY relation) AS relation, string_agg(DISTINCT head_type, ', ' ORDER BY head_type) AS head_type,
   string_agg(DISTINCT tail_type, ', ' ORDER BY tail_type) AS tail_type, min(seq) AS first_seen, count(DISTINCT relation) AS nr, count(DISTINCT head_type) AS nh, count(DISTINCT tail_type) AS nt FROM {v} GROUP BY head, tail)"""
 SMG, EMG = EVM.format(v="st"), EVM.format(v="ev")
-TS = "ts AS (SELECT DISTINCT source, head, relation, tail FROM st)"
+TS = "ts AS MATERIALIZED (SELECT DISTINCT source, head, relation, tail FROM st)"
 AN = """an AS (SELECT page_id, k, href, name, title FROM (
   SELECT page_id, unnest(range(1, len(h) + 1)) AS k, unnest(h) AS href, unnest(n) AS name, title FROM (
     SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS n,
       trim(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' - Vikipedi', '')) AS title FROM pages)))"""
-ME = """me AS (SELECT page_id, title, CAST(page_id AS VARCHAR) || '#' || lpad(CAST(k AS VARCHAR), 4, '0') AS sent_id, trim(name) AS entity, lower(href) AS url, 'See ' || name || ' now.' AS plain, k FROM an WHERE trim(name) <> '' AND href <> '')"""
+ME = """me AS (SELECT page_id, title, CAST(page_id AS VARCHAR) || '#' || lpad(CAST(k AS VARCHAR), 4, '0') AS sent_id, trim(name) AS entity, lower(href) AS url, k FROM an WHERE trim(name) <> '' AND href <> '')"""
 
 
 def _w(*parts: str) -> str:
@@ -102,7 +106,9 @@ def triple_sets(spark, d):
     return sets.triple_sets(_star(spark, d))
 
 
-@query(_w(ST, TS) + "SELECT a.source AS source_a, b.source AS source_b, head, relation, tail FROM ts a JOIN ts b USING (head, relation, tail) WHERE a.source < b.source")
+@query(_w(ST, TS) + """, g AS MATERIALIZED (SELECT head, relation, tail, list(source ORDER BY source) AS s FROM ts GROUP BY head, relation, tail HAVING count(*) > 1),
+p AS (SELECT *, unnest(range(1, len(s))) AS i FROM g), q AS (SELECT *, unnest(range(i + 1, len(s) + 1)) AS j FROM p)
+SELECT s[i] AS source_a, s[j] AS source_b, head, relation, tail FROM q""")
 def pairwise_intersections(spark, d):
     return sets.pairwise_intersections(sets.triple_sets(_star(spark, d)))
 
@@ -209,8 +215,8 @@ def complex_records(spark, d):
 
 
 def _partly_merged(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Star triples, and the merge of those of two sources, with relations as the files' readers see them."""
-    t = _star(spark, d)
+    """Star triples, and the merge of those of two sources, with relations as the files' readers see them. Both come from one table, so the star is joined once."""
+    t, _ = keep(_star(spark, d).select("head", "head_type", "relation", "tail", "tail_type", "source", "seq"), "star")
     return t, quality.reread(merge.merge_relations_and_types(t.where("source <> 'R'")), "relation")
 
 
@@ -225,9 +231,23 @@ def coverage(spark, d):
     return quality.coverage(*_partly_merged(spark, d))
 
 
-@query(_PART + "SELECT entity FROM eo EXCEPT SELECT entity FROM em")
+_LOST = _w(ST) + ", lo AS (SELECT head AS entity FROM st UNION SELECT tail FROM st EXCEPT (SELECT head FROM st WHERE relation = 'SUPPLIES' UNION SELECT tail FROM st WHERE relation = 'SUPPLIES')) "
+
+
+def _lost(spark, d) -> DataFrame:
+    """What a merge that has seen suppliers' triples alone lacks of all."""
+    t, _ = keep(_star(spark, d).select("head", "head_type", "relation", "tail", "tail_type", "seq"), "star")
+    return quality.lost(t, merge.merge_relations_and_types(t.where("relation = 'SUPPLIES'")))
+
+
+@query(_LOST + "SELECT entity FROM lo")
 def lost_entities(spark, d):
-    return quality.lost(*_partly_merged(spark, d))
+    return _lost(spark, d)
+
+
+@query(_LOST + "SELECT (SELECT count(*) FROM lo) AS n, string_agg(entity, '|' ORDER BY entity) AS entities FROM (SELECT entity FROM lo ORDER BY entity LIMIT 20)")
+def first_lost(spark, d):
+    return quality.first_entities(_lost(spark, d)).select("n", F.array_join("entities", "|").alias("entities"))
 
 
 @query(_PART + "SELECT entity FROM em EXCEPT SELECT entity FROM eo WHERE entity NOT LIKE 'C%'")
@@ -251,12 +271,12 @@ def mentions(spark, d):
     return _mentions(spark, d).select("page_id", "title", "sent_id", "entity", "url")
 
 
-@query(_w(AN, ME) + "SELECT page_id, entity, url, count(*) AS n_occurrences, string_agg(sent_id || ': See now.', ' | ' ORDER BY sent_id) AS sources FROM me GROUP BY page_id, entity, url")
+@query(_w(AN, ME) + "SELECT page_id, entity, url, count(*) AS n_occurrences, string_agg(sent_id || ': See on ' || k || '.', ' | ' ORDER BY sent_id) AS sources FROM me GROUP BY page_id, entity, url")
 def mention_freq(spark, d):
     return frequency.occurrence_frequency(_mentions(spark, d))
 
 
-@query(_w(AN, ME) + "SELECT string_agg(DISTINCT entity, ' | ' ORDER BY entity) AS entities, url, count(*) AS n_sentences, string_agg(sent_id || ': See ' || entity || ' now.', ' | ' ORDER BY sent_id) AS sources FROM me GROUP BY url")
+@query(_w(AN, ME) + "SELECT string_agg(DISTINCT entity, ' | ' ORDER BY entity) AS entities, url, count(*) AS n_sentences, string_agg(sent_id || ': See ' || entity || ' on ' || k || '.', ' | ' ORDER BY sent_id) AS sources FROM me GROUP BY url")
 def url_rollup(spark, d):
     return frequency.url_rollup(_mentions(spark, d))
 
@@ -325,14 +345,24 @@ def absolute_urls(spark, d):
     return views.anchors(spark, d).select("page_id", "k", T.absolute_url(F.col("href"), "https://tr.example.org").alias("url"))
 
 
-@query(_w(AN) + "SELECT page_id, k, 'See ' || name || ' now.' AS named, 'See now.' AS bare FROM an")
+@query(_w(AN) + "SELECT page_id, k, 'See ' || name || ' on ' || k || '.' AS named, 'See on ' || k || '.' AS bare FROM an")
 def markup_text(spark, d):
     s = views.mention_sentences(spark, d)
     k = F.element_at(F.split("sent_id", "#"), -1).cast("long")
     return s.select("page_id", k.alias("k"), T.markup_to_entity(F.col("sentence")).alias("named"), T.without_markup(F.col("sentence")).alias("bare"))
 
 
-@query()
+_SPACE = r"[ \t\n\r\f\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_LET = "a-zA-ZçğıöşüÇĞİÖŞÜ"
+# dots that end nothing become U+E001, ends U+E002; before a short word stands the text's beginning or no letter, digit or _
+_SPLIT = rf"""SELECT doc_id, 'doc' || doc_id || '#' || row_number() OVER (PARTITION BY doc_id ORDER BY i) AS sent_id, s AS sentence FROM (
+  SELECT doc_id, i, regexp_replace(replace(p, chr(57345), '.'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS s FROM (
+    SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+      SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(\p{{Nd}}+)\.({_SPACE}*[{_LET}])', '\1' || chr(57345) || '\2', 'g'),
+        '(^|[^\p{{L}}\p{{N}}_])([{_LET}]{{1,4}})\.({_SPACE}*[{_LET}])', '\1\2' || chr(57345) || '\3', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g'), '([.!?]){_SPACE}+([A-ZÇĞİÖŞÜ])', '\1' || chr(57346) || '\2', 'g'), chr(57346)) AS ps FROM documents))) WHERE s <> ''"""
+
+
+@query(_SPLIT)
 def split_sentences(spark, d):
     """Every document's sentences with their ids."""
     docs = views.table(spark, d, "documents").select("doc_id", S.sentences("text").alias("s"))
@@ -346,7 +376,8 @@ def html_paragraphs(spark, d):
     return p.select("page_id", "k", "paragraph")
 
 
-@query()
+@query("""SELECT n_nationkey, key, value FROM nation, (VALUES ('Name'), ('Region'), ('Name (2)')) k(key), LATERAL (SELECT CASE key WHEN 'Name' THEN n_name WHEN 'Name (2)' THEN ''
+ELSE '<PossibleEntity>region</PossibleEntity> <URL>:(https://tr.example.org/r' || n_regionkey || ')</URL> x more' END AS value)""")
 def infobox(spark, d):
     """Key-value cards of a box built around every nation."""
     n = views.table(spark, d, "nation")
@@ -358,7 +389,7 @@ def infobox(spark, d):
 
 
 _LK = """lk AS (SELECT 'c' || o_custkey AS src, 'p' || l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem
-  UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem WHERE l_partkey % 10 = 7)"""
+  UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem)"""
 
 
 @query("WITH RECURSIVE " + _LK + ", b AS (SELECT 'c1' AS url, 0 AS depth UNION SELECT dst, depth + 1 FROM b JOIN lk ON src = url WHERE depth < 3) SELECT url, CAST(min(depth) AS INT) AS depth FROM b GROUP BY url")
@@ -387,8 +418,10 @@ def graph_counts(spark, d):
     return graph.graph_counts(graph.graph_nodes(claims), graph.claim_edges(claims))
 
 
-@query()
+@query(_w(_CL) + """, no AS (SELECT id, min(o) AS o FROM (SELECT id, s_suppkey * 3 AS o FROM cl UNION ALL SELECT nation, s_suppkey * 3 + 1 FROM cl UNION ALL SELECT 'P1448:' || s_name, s_suppkey * 3 + 2 FROM cl) GROUP BY id),
+f AS (SELECT id FROM no ORDER BY o, id LIMIT 40) SELECT src, dst, property FROM ce WHERE src IN (SELECT id FROM f) AND dst IN (SELECT id FROM f)""")
 def induced_subgraph(spark, d):
+    """The edges between the first 40 nodes."""
     claims = graph.parse_claims(views.claim_docs(spark, d))
     return graph.induced_subgraph(graph.graph_nodes(claims), graph.claim_edges(claims))[1].select("src", "dst", "property")
 
@@ -499,3 +532,189 @@ def text_parts(spark, d):
 def multi_value_split(spark, d):
     e = views.table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.col("event_type"), F.lit(" , , "), "props").alias("v"))
     return e.select("id", F.explode(T.split_values(F.col("v"))).alias("value"))
+
+
+# Files: test tables written by the sinks and read back
+
+
+def _triple_folder(spark, d) -> str:
+    """Two files with triples of every part, in order of its key, and one that is no JSON."""
+    folder = scratch(spark, "triples")
+    p = views.table(spark, d, "part").orderBy("p_partkey", "p_name")
+    text = lambda c: F.lit(c).cast("string")
+    for name, head_type, relation, tail_type in (("brands", "Part", "HAS", "Brand"), ("makers", "Item", "IS OF, BY", "Maker")):
+        rows = p.select(F.col("p_name").alias("head"), text(head_type).alias("head_type"), text(relation).alias("relation"), F.col("p_brand").alias("tail"), F.when(F.col("p_size") % 2 == 0, text(tail_type)).alias("tail_type"))
+        sinks.write_json_list(to_edge(rows), f"{folder}/{name}.json")
+    with sinks.writing(spark, f"{folder}/none.json") as out:
+        out.write("{")
+    return folder
+
+
+_TF = """tf AS (SELECT s AS source, p_name AS head, h AS head_type, r AS relation, p_brand AS tail, CASE WHEN p_size % 2 = 0 THEN t END AS tail_type, row_number() OVER (PARTITION BY s ORDER BY p_partkey, p_name) - 1 AS k
+  FROM part, (VALUES ('brands', 'Part', 'HAS', 'Brand'), ('makers', 'Item', 'IS OF, BY', 'Maker')) v(s, h, r, t))"""
+
+
+@query(_w(_TF) + "SELECT source, head, head_type, relation, tail, tail_type, k AS seq FROM tf")
+def triple_files(spark, d):
+    """All triples of a folder; the broken file gives none."""
+    return readers.read_triples(spark, _triple_folder(spark, d)).select("source", "head", "head_type", "relation", "tail", "tail_type", "seq")
+
+
+@query(_w(_TF) + "SELECT source, head, tail, k + CASE source WHEN 'brands' THEN 1099511627776 ELSE 0 END AS seq FROM tf")
+def triple_file_list(spark, d):
+    """Files in the order of a list, of which one isn't there."""
+    folder = _triple_folder(spark, d)
+    return readers.read_triple_files(spark, [f"{folder}/{n}.json" for n in ("gone", "makers", "brands")]).select("source", "head", "tail", "seq")
+
+
+@query("SELECT 'none' AS source")
+def bad_files(spark, d):
+    return readers.bad_files(spark, _triple_folder(spark, d))
+
+
+@query(_w(_TF) + """SELECT head, tail, string_agg(DISTINCT relation, ', ' ORDER BY relation) AS relation, string_agg(DISTINCT head_type, ', ' ORDER BY head_type) AS head_type,
+string_agg(DISTINCT tail_type, ', ' ORDER BY tail_type) AS tail_type FROM tf GROUP BY head, tail""")
+def merge_run(spark, d):
+    """A whole merge run over a folder, its merged table read back."""
+    done = runs.merge_folder(spark, _triple_folder(spark, d))
+    return readers.read_merged(spark, done.folder)["relations_and_types_merged"].select(F.col("`baş`").alias("head"), F.col("`uç`").alias("tail"), F.col("`ilişki`").alias("relation"), F.col("`baş_tipi`").alias("head_type"), F.col("`uç_tipi`").alias("tail_type"))
+
+
+@query(_w(_TF) + """, e AS (SELECT count(DISTINCT x) AS n FROM (SELECT head AS x FROM tf UNION ALL SELECT tail FROM tf WHERE tail_type IS NOT NULL)), p AS (SELECT count(*) AS n FROM (SELECT DISTINCT head, tail FROM tf)), t AS (SELECT count(*) AS n FROM tf)
+SELECT t.n AS total_original_records, e.n AS entity_types_count, p.n AS relations_count, t.n || ' -> ' || p.n AS relations_reduction FROM e, p, t""")
+def merge_run_statistics(spark, d):
+    """The statistics file of a merge run, read back."""
+    s = readers.read_merged(spark, runs.merge_folder(spark, _triple_folder(spark, d)).folder)["statistics"]
+    return s.select("merge_statistics.total_original_records", "merge_statistics.entity_types_count", "merge_statistics.relations_count", "merge_efficiency.relations_reduction")
+
+
+@query("SELECT c_name AS name, 'said \"' || c_mktsegment || '\",' || chr(10) || 'twice' AS note FROM customer")
+def csv_file(spark, d):
+    """A CSV file with a byte-order mark, quotes and line ends, read back."""
+    rows = views.table(spark, d, "customer").select(F.col("c_name").alias("name"), F.concat(F.lit('said "'), "c_mktsegment", F.lit('",\ntwice')).alias("note"))
+    sinks.write_csv_file(rows, to := scratch(spark, "csv") + "/customers.csv")
+    return readers.read_csv(spark, to)
+
+
+@query("SELECT 'sellers' AS source, s_name AS item FROM supplier UNION ALL SELECT 'nations', n_name FROM nation")
+def entity_set_files(spark, d):
+    """The entity columns of CSV files; one file has none."""
+    folder = scratch(spark, "sets")
+    for name, table, column, own in (("sellers", "supplier", "s_name", "E"), ("nations", "nation", "n_name", "E"), ("regions", "region", "r_name", "K")):
+        sinks.write_csv_file(views.table(spark, d, table).select(F.col(column).alias(own)), f"{folder}/{name}.csv")
+    return readers.read_entity_sets(spark, [f"{folder}/{n}.csv" for n in ("sellers", "nations", "regions")])
+
+
+@query("SELECT DISTINCT 'Q' || l_partkey AS id FROM lineitem")
+def id_file(spark, d):
+    sinks.write_ids(views.table(spark, d, "lineitem").select(F.concat(F.lit("Q"), F.col("l_partkey").cast("string")).alias("id")), to := scratch(spark, "ids"))
+    return readers.valid_q_ids(readers.read_q_ids(spark, to))
+
+
+@query("""SELECT 'Wiki_nations' AS page_id, n_name AS title, n_name || '#1' AS sent_id, 'In region ' || n_regionkey || '.' AS sentence FROM nation
+UNION ALL SELECT 'Wiki_nations', n_name, n_name || 'Card#1', 'key ' || n_nationkey FROM nation UNION ALL SELECT 'Wiki_nations', n_name, n_name || 'Card#2', n_name FROM nation""")
+def page_files(spark, d):
+    """Page documents as files, read back as sentences."""
+    n = views.table(spark, d, "nation")
+    main = F.array(F.struct(F.concat("n_name", F.lit("#1")).alias("id"), F.concat(F.lit("In region "), F.col("n_regionkey").cast("string"), F.lit(".")).alias("sentence")))
+    card = F.create_map(F.lit("k"), F.concat(F.lit("key "), F.col("n_nationkey").cast("string")), F.lit("n"), F.col("n_name"))
+    folder = scratch(spark, "pages")
+    sinks.write_json_list(n.select(F.col("n_name").alias("Title"), card.alias("Card"), main.alias("Main")), f"{folder}/Wiki_nations.json")
+    return readers.page_sentences(readers.read_pages(spark, f"{folder}/Wiki_*.json"))
+
+
+@query(_w(_CL) + "SELECT src, dst, property, kind FROM ce")
+def claims_file(spark, d):
+    """All suppliers' claims as one document in a file, read back as edges."""
+    to = scratch(spark, "claims") + "/claims.json"
+    with sinks.writing(spark, to) as out:
+        for k, r in enumerate(views.claim_docs(spark, d).select("json").toLocalIterator()):
+            out.write(("," if k else "{") + r.json[1:-1])
+        out.write("}")
+    return graph.claim_edges(graph.parse_claims(readers.read_claims(spark, to))).select("src", "dst", "property", "kind")
+
+
+@query("SELECT c_name AS head, 'N' || c_nationkey AS tail, '' AS tail_type, 'said of ' || c_name AS text FROM customer WHERE c_custkey % 4 <> 3")
+def clean_file(spark, d):
+    """Clean triples of the model's answers in a file, read back."""
+    found = parse_llm_response(spark, d).orderBy("id")
+    to = sinks.write_clean(found, scratch(spark, "answers") + "/answers.json")
+    return readers.read_triple_files(spark, [to]).select("head", "tail", "tail_type", "text")
+
+
+@query(_w(_CL) + "SELECT src, dst, property FROM ce")
+def gexf_file(spark, d):
+    """A graph file's edges, read back."""
+    claims, _ = keep(graph.parse_claims(views.claim_docs(spark, d)), "claims")
+    sinks.write_gexf(graph.graph_nodes(claims).orderBy("first_seen", "id"), graph.claim_edges(claims).orderBy("order"), to := scratch(spark, "graph") + "/graph.gexf")
+    line = spark.read.text(to).where("value like '<edge %'")
+    part = lambda name: F.regexp_extract("value", rf' {name}="([^"]*)"', 1)
+    return line.select(part("source").alias("src"), part("target").alias("dst"), F.regexp_extract("value", r'for="0" value="([^"]*)"', 1).alias("property"))
+
+
+@query("SELECT c_name || '#1' AS sent_id, c_mktsegment AS entity, 'https://tr.example.org/n' || c_nationkey AS url FROM customer UNION ALL SELECT c_name || '#1', 'again', 'http://x.example.org/' || c_custkey FROM customer")
+def legacy_mentions(spark, d):
+    """Mentions in the older markup, by the parser of both."""
+    c = views.table(spark, d, "customer")
+    s = F.concat(F.lit("Sold to ___E:"), "c_mktsegment", F.lit(" U:(https://tr.example.org/n"), F.col("c_nationkey").cast("string"), F.lit(")___ and ___E: again  U:(http://x.example.org/"), F.col("c_custkey").cast("string"), F.lit(")___, ___E:no U:(ftp://y)___."))
+    rows = c.select(F.lit("p").alias("page_id"), F.lit("t").alias("title"), F.concat("c_name", F.lit("#1")).alias("sent_id"), s.alias("sentence"))
+    return frequency.mentions(rows, legacy=True).select("sent_id", "entity", "url")
+
+
+@query(_w(AN) + "SELECT page_id, k, href AS dst FROM an WHERE starts_with(href, '/t')")
+def same_site_links(spark, d):
+    return graph.same_site(views.anchors(spark, d).select("page_id", "k", F.col("href").alias("dst")), "/t")
+
+
+@query(_w(EV) + """, ts AS (SELECT DISTINCT source, head || ' ' || relation || ' ' || tail AS t FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY t) AS k, count(*) OVER (PARTITION BY source) AS n FROM ts)
+SELECT source, string_agg(t, chr(10) ORDER BY t) || CASE WHEN max(n) > 5 THEN chr(10) || '... ' || (max(n) - 5) || ' more' ELSE '' END AS hover FROM r WHERE k <= 5 GROUP BY source""")
+def hover_previews(spark, d):
+    """The first triples of each source, and how many more there are."""
+    ts = sets.triple_sets(_events(spark, d)).groupBy("source").agg(F.array_sort(F.collect_list(F.concat_ws(" ", "head", "relation", "tail"))).alias("t"))
+    return ts.select("source", T.hover(F.col("t")).alias("hover"))
+
+
+# Runs
+
+
+def _web(spark, d) -> DataFrame:
+    """(url, html): a page for each region that links to its nations, for each nation that links to its suppliers, and for each supplier."""
+    r, n, s = (views.table(spark, d, t) for t in ("region", "nation", "supplier"))
+    page = lambda title, body: F.concat(F.lit("<title>"), title, F.lit(' - Vikipedi</title><div id="mw-content-text"><p>'), body, F.lit("</p></div>"))
+    link = lambda lead, key, name: F.concat(F.lit(f'Bkz <a href="/{lead}'), F.col(key).cast("string"), F.lit('">'), name, F.lit("</a> burada."))
+    url = lambda lead, key: F.concat(F.lit(f"https://tr.example.org/{lead}"), F.col(key).cast("string")).alias("url")
+    listed = lambda df, key, of: df.groupBy(F.col(key).alias("key")).agg(F.array_join(F.array_sort(F.collect_list(of)), " ").alias("body"))
+    regions = r.join(listed(n, "n_regionkey", link("n", "n_nationkey", F.col("n_name"))), F.col("r_regionkey") == F.col("key")).select(url("r", "r_regionkey"), page(F.col("r_name"), F.col("body")).alias("html"))
+    nations = n.join(listed(s, "s_nationkey", link("s", "s_suppkey", F.col("s_name"))), F.col("n_nationkey") == F.col("key"), "left").select(url("n", "n_nationkey"), page(F.col("n_name"), F.coalesce("body", F.lit("Yok."))).alias("html"))
+    return regions.unionByName(nations).unionByName(s.select(url("s", "s_suppkey"), page(F.col("s_name"), F.lit("Son.")).alias("html")))
+
+
+@query("""SELECT 'https://tr.example.org/r0' AS url, 0 AS depth UNION ALL SELECT 'https://tr.example.org/n' || n_nationkey, 1 FROM nation WHERE n_regionkey = 0
+UNION ALL SELECT 'https://tr.example.org/s' || s_suppkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0""")
+def crawl_run(spark, d):
+    """Depths of a crawl that parses pages, finds their mentions, follows them and writes its tables."""
+    return runs.crawl_report(_web(spark, d), "https://tr.example.org/r0", 3, "https://tr.example.org", scratch(spark, "crawl")).depths
+
+
+@query("""SELECT 'https://tr.example.org/s' || s_suppkey AS url, s_name AS entities, 1 AS n_sentences FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 0
+UNION ALL SELECT 'https://tr.example.org/n' || n_nationkey, n_name, 1 FROM nation WHERE n_regionkey = 0""")
+def crawl_run_urls(spark, d):
+    """The roll-up by url that a crawl writes, read back."""
+    runs.crawl_report(_web(spark, d), "https://tr.example.org/r0", 3, "https://tr.example.org", folder := scratch(spark, "crawl"))
+    return readers.read_csv(spark, f"{folder}/urls").select("url", "entities", F.col("n_sentences").cast("int").alias("n_sentences"))
+
+
+def _echo(prompts: list[str]) -> list[str]:
+    """A model that finds one triple in each text: its first and last word, by the number of relations that is wanted."""
+    texts = [p.split("Metin:\n")[1].split("\n")[0].split(" ") for p in prompts]
+    wanted = [p.split("Tam ")[1].split(" ")[0] if "Tam " in p else "0" for p in prompts]
+    return [json.dumps([{"baş": t[0], "ilişki": n, "uç": t[-1]}]) for t, n in zip(texts, wanted, strict=True)]
+
+
+@query("""SELECT 'parts' AS source, split_part(t, ' ', 1) AS head, CAST(p_size AS VARCHAR) AS relation, split_part(t, ' ', -1) AS tail, t AS text FROM (SELECT p_size, unnest([p_name, p_type || ' end']) AS t FROM part)""")
+def extract_run(spark, d):
+    """A frequency table's texts through the whole extraction, with a stand-in for the model."""
+    p = views.table(spark, d, "part")
+    rows = p.select(F.col("p_name").alias("E"), F.lit("u").alias("U"), F.col("p_size").alias("Frekans"), F.concat_ws(" | ", "p_name", F.lit(" "), F.concat("p_type", F.lit(" end"))).alias("Kaynak_IDler"))
+    sinks.write_csv_file(rows, to := scratch(spark, "tables") + "/parts.csv")
+    return runs.extract_csv(spark, to, _echo, "system", _EXAMPLES).select("source", "head", "relation", "tail", "text")
