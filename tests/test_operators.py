@@ -7,9 +7,10 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from knotwork import runs
 from knotwork.functions import text as T
 from knotwork.functions.html import infobox, paragraphs
-from knotwork.functions.sentences import split_sentences
+from knotwork.functions.sentences import sentences, split_sentences
 from knotwork.functions.similarity import common_length, ratio
 from knotwork.operators import crawl, extraction, frequency, fuzzy, graph, merge, quality, sets, statistics, wikidata
 from knotwork.plans import lineage
@@ -142,6 +143,15 @@ def test_sentences():
     assert split_sentences(None) == split_sentences(" ") == []
 
 
+def test_sentences_as_columns(spark):
+    """Texts without mentions never go through Python, and are split alike."""
+    rng = random.Random(6)
+    bits = ["Ab", "cd", "Ö", "çok", "uzunca", "12", ".", "! ", "? ", " ", ". ", "\n", "\u00a0", M.format("e", "u"), "A."]
+    texts = [None, "", " ", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(400))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumn("s", sentences("t"))
+    assert {r.k: r.s for r in df.collect()} == {k: split_sentences(t) for k, t in enumerate(texts)}
+
+
 def test_sentences_lose_nothing():
     rng = random.Random(5)
     for _ in range(300):
@@ -208,7 +218,7 @@ def greedy(names, threshold):
     return out
 
 
-@pytest.mark.parametrize("threshold", [85, 60])
+@pytest.mark.parametrize("threshold", [85, 75, 60, 50, 20])
 def test_fuzzy_clusters(spark, threshold):
     rng = random.Random(threshold)
     base = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(12)]
@@ -218,14 +228,22 @@ def test_fuzzy_clusters(spark, threshold):
     pairs = fuzzy.similar_entities(df, threshold)
     norm = lambda n: " ".join(n.strip().lower().split())
     want = {(a, b) for a, b in combinations(sorted(names), 2) if 200 * subsequence(norm(a), norm(b)) >= threshold * (len(norm(a)) + len(norm(b)))}
-    if threshold == 85:
-        assert {(r.a, r.b) for r in pairs.collect()} == want
+    assert {(r.a, r.b) for r in pairs.collect()} == want
     found = {}
     for r in fuzzy.clusters(df, spark.createDataFrame(sorted(want), "a string, b string")).collect():
         found.setdefault(r.head, (r.seed, set()))[1].add(r.entity)
     assert found == greedy(names, threshold)
 
 
+def test_fuzzy_pairs_of_very_short_names(spark):
+    df = spark.createDataFrame([("ab",), ("acb",), ("a",), ("b",), ("",)], "entity string")
+    assert rows(fuzzy.similar_entities(df, 60), "a", "b", "score") == [("a", "ab", 200 / 3), ("ab", "acb", 80.0), ("ab", "b", 200 / 3)]
+    assert fuzzy.similar_entities(df, 100).count() == 0
+    for bad in (0, 101, 84.5):
+        with pytest.raises(ValueError, match="threshold"):
+            fuzzy.similar_entities(df, bad)
+
+
 def test_relation_conflicts(spark):
     t = spark.createDataFrame([("Barça", None, "r1", "X", None, None, "f", 0), ("Barca", None, "r2", "X", None, None, "g", 1), ("X", None, "r3", "Barça", None, None, "g", 2), ("Q", None, "r", "X", None, None, "g", 3)], TRIPLE)
     e = quality.entities(t)
@@ -353,11 +371,53 @@ def test_shared_folder(spark, tmp_path, monkeypatch):
     class Session:
         conf, sparkContext = Conf(), spark.sparkContext
 
+    class Cluster(Session):
+        class sparkContext:
+            master = "spark://host:7077"
+
     assert lineage.shared_dir(Session()) == str(tmp_path / "given")
     Conf.value = None
     assert lineage.shared_dir(Session()) == lineage.shared_dir(Session()) != str(tmp_path / "given")
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        lineage.shared_dir(Cluster())
     kept, path = lineage.keep(spark.range(3), "t")
     assert path.startswith(lineage.shared_dir(spark)) and kept.count() == 3
     lineage.drop(spark, path)
     with pytest.raises(Exception, match=r"(?i)not.?exist|not found"):
         spark.read.parquet(path).count()
+
+
+def test_merge_run(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"baş":"x","baş_tipi":"T","ilişki":"r","uç":"y"},{"baş":"y","ilişki":"q","uç":"x"}]', encoding="utf-8")
+    (tmp_path / "b.json").write_text('[{"baş":"x","baş_tipi":"S","ilişki":"p, o","uç":"y","uç_tipi":"U"}]', encoding="utf-8")
+    (tmp_path / "c.json").write_text("no", encoding="utf-8")
+    done = runs.merge_folder(spark, str(tmp_path))
+    assert done.bad == ["c"] and done.statistics.total_original_records == 3 and [r.relation for r in done.preview["relations_merged"]] == ["p, o, r", "q"]
+    read = lambda name: json.loads((tmp_path / "merged" / f"{name}.json").read_text())
+    assert read("entity_types_merged") == [{"entity": "x", "entity_type": "S, T"}, {"entity": "y", "entity_type": "U"}]
+    assert read("relations_merged") == [{"baş": "x", "uç": "y", "ilişki": "p, o, r"}, {"baş": "y", "uç": "x", "ilişki": "q"}]
+    assert read("relations_and_types_merged")[0] == {"baş": "x", "baş_tipi": "S, T", "ilişki": "p, o, r", "uç": "y", "uç_tipi": "U"}
+    assert read("statistics")["merge_efficiency"]["relations_reduction"] == "3 -> 2"
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "d.json").write_text("{", encoding="utf-8")
+    assert runs.merge_folder(spark, str(tmp_path / "none")) is None
+
+
+def test_extract_run(spark, tmp_path):
+    for name in ("bir", "iki"):
+        (tmp_path / f"{name}.csv").write_bytes(b"\xef\xbb\xbf" + f'E,U,Frekans,Kaynak_IDler\n{name},u,2,"T#1: ilk |  | T#2: son"\nyok,u,1,\n'.encode())
+    model = lambda prompts: [None if "son" in p else '[{"baş":"h","ilişki":"' + p.split("Tam ")[1][0] + '","uç":"t"}]' for p in prompts]
+    got = runs.extract_csv(spark, str(tmp_path), model, "s", [])
+    assert rows(got, "source", "head", "relation", "tail", "text") == [("bir", "h", "2", "t", "T#1: ilk"), ("iki", "h", "2", "t", "T#1: ilk")]
+    assert json.loads((tmp_path / "iki_clean.json").read_text()) == [{"baş": "h", "baş_tipi": "", "ilişki": "2", "uç": "t", "uç_tipi": "", "metin": "T#1: ilk"}]
+    assert runs.extract_csv(spark, str(tmp_path / "bir.csv"), model, "s", []).count() == 1
+
+
+def test_crawl_report(spark, tmp_path):
+    page = lambda title, *to: f'<title>{title}</title><div id="mw-content-text"><p>{" ".join(f"Bkz <a href={t!r}>n{t}</a> burada." for t in to)}</p></div>'
+    pages = spark.createDataFrame([("https://w.org/a", page("A", "/b", "/c")), ("https://w.org/b", page("B", "/c", "/a")), ("https://w.org/c", page("C", "/b"))], "url string, html string")
+    r = runs.crawl_report(pages, "https://w.org/a", 2, "https://w.org", str(tmp_path / "out"))
+    assert (r.n_pages, r.n_entities, r.n_pairs, r.n_repeated) == (3, 3, 3, 2) and [t.n_pages for t in r.top] == [2, 2, 1]
+    assert rows(readers.read_csv(spark, str(tmp_path / "out" / "entities")), "entity", "n_pages", "titles") == [("n/b", "2", "A | C"), ("n/c", "2", "A | B")]
+    assert readers.read_csv(spark, str(tmp_path / "out" / "urls")).count() == 3 and readers.read_csv(spark, str(tmp_path / "out" / "occurrences")).count() == 5
+    assert readers.read_csv(spark, str(tmp_path / "out" / "pairs")).count() == 2
