@@ -36,7 +36,7 @@ LEAF = 1024
 #: Nodes up to this size give all their candidate pairs at once.
 SMALL = 16
 #: Partners of a class that its text is sent to at a time.
-HUB = 256
+HUB = 64
 #: Of TOKENS, as many must agree for a pair to be confirmed; for a similarity of 0.8 fewer do with a chance of 1e-6.
 AGREE = 34
 
