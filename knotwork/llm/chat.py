@@ -5,8 +5,9 @@ Each turn becomes `<turn ROLE>\n`, its text and `</turn>\n`. Inside roles and te
 precedes a character gives the text back. Lengths, cumulative offsets and scatter indices are computed for a whole batch in numpy, and heads,
 contents and ends are copied into one preallocated buffer that becomes an Arrow column.
 
-A conversation's rows are ordered by turn (null first), then role and text, and read as a stream; each PART turns make a row of the result,
-so a conversation of any length needs bounded memory. Null text and null role are empty. Rows with a null conv_id form one conversation of their own. Extra columns are ignored.
+A conversation's rows are ordered by turn (null first), ties by role and then text, and read as a stream; each PART turns make a row of the result,
+so a conversation, or a text, of any length needs bounded memory (a batch, or one text). As its turns are in order, one conversation is read by one task. Null text and null role are empty, repeated rows are turns each. Rows with a null conv_id form one conversation of their own.
+An empty table gives no rows. Only the four named columns are read, under names of the operator's own, so extra columns are ignored whatever they are called.
 """
 
 from __future__ import annotations

@@ -180,7 +180,7 @@ class Scorer:
     def scores(self, data: np.ndarray, offsets: np.ndarray, m: np.ndarray) -> np.ndarray:
         z = np.full(len(m), self.bias)
         for codes in gram_codes(data, offsets):
-            sums = np.concatenate(([0.0], np.cumsum(self.grams[codes])))
+            sums = np.concatenate(([0.0], np.cumsum(self.grams[codes], dtype=np.float64)))
             z += (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(np.diff(offsets), 1)
         z += self.measures[measure_codes(m)].sum(axis=1)
         return np.where(m[:, 0] > 0, 1 / (1 + np.exp(-np.clip(z, -50, 50))), 0.0)
