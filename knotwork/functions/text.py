@@ -70,14 +70,28 @@ def page_title(html: Column) -> Column:
     return F.when(there, strip(F.replace(found, F.lit(TITLE_SUFFIX), F.lit("")))).otherwise(NO_TITLE)
 
 
-def absolute_url(href: Column, origin: str, base_dir: str = "/") -> Column:
-    """href as seen from a page under origin: absolute, //host, /path, #part or a relative path."""
+def _without_dots(path: Column) -> Column:
+    """A path that begins with / without its . and .. segments."""
+    folded = F.aggregate(
+        F.split(path, "/"), F.array().cast("array<string>"),
+        lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x))),
+        lambda a: F.array_join(a, "/"),
+    )
+    whole = F.when(path.rlike(r"/\.\.?$") | (folded == ""), F.concat(folded, F.lit("/"))).otherwise(folded)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
+
+
+def absolute_url(href: Column, origin: str, base_dir: str = "/", page: str | None = None) -> Column:
+    """href as seen from a page of the directory base_dir under origin (the page itself, unless its path is given): absolute, //host, /path, ?query, #part or a relative path, without . and .. segments."""
     origin = origin.rstrip("/")
+    path = F.regexp_extract(href, "^[^?#]*", 0)
+    rest = F.substr(href, F.length(path) + 1)
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(base_dir), path))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(F.lit(origin.split("//")[0]), href))
-        .when(href.startswith("/"), F.concat(F.lit(origin), href))
-        .otherwise(F.concat(F.lit(origin + base_dir), href))
+        .when(path == "", F.concat(F.lit(origin + (page or base_dir)), href))
+        .otherwise(F.concat(F.lit(origin), _without_dots(full), rest))
     )
 
 

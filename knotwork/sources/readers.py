@@ -103,3 +103,13 @@ def valid_q_ids(ids: DataFrame, column: str = "id") -> DataFrame:
 def read_claims(spark: SparkSession, path: str) -> DataFrame:
     """(seq, json) of claim documents, one a file."""
     return spark.read.text(path, wholetext=True).select(F.xxhash64(F.col("_metadata.file_path")).alias("seq"), F.col("value").alias("json"))
+
+
+def fetch_pages(urls: DataFrame, fetcher, column: str = "url") -> DataFrame:
+    """(url, html) by any function from url to html or None, called where the data is; a failed page is null."""
+
+    def run(batches):
+        for b in batches:
+            yield b[[column]].assign(html=[fetcher(u) for u in b[column]])
+
+    return urls.select(column).mapInPandas(run, f"{column} string, html string")

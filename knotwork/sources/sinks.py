@@ -115,13 +115,3 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, file: str) -> None:
         for k, e in enumerate(edges.select("src", "dst", "property").toLocalIterator()):
             out.write(f'<edge id="{k}" source={quoteattr(e.src)} target={quoteattr(e.dst)}><attvalues><attvalue for="0" value={quoteattr(e.property)}/></attvalues></edge>\n')
         out.write("</edges>\n</graph>\n</gexf>\n")
-
-
-def fetch_pages(urls: DataFrame, fetcher, column: str = "url") -> DataFrame:
-    """(url, html) by any function from url to html or None, called where the data is; a failed page is null."""
-
-    def run(batches):
-        for b in batches:
-            yield b[[column]].assign(html=[fetcher(u) for u in b[column]])
-
-    return urls.select(column).mapInPandas(run, f"{column} string, html string")

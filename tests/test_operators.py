@@ -3,6 +3,7 @@
 import json
 import random
 from itertools import combinations
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +132,15 @@ def test_text_functions(spark):
     assert one(spark, lambda c: T.hover(F.split(c, ""), 2), "abcd") == ["a\nb\n... 2 more"]
 
 
+def test_urls_are_joined_as_the_library_does(spark):
+    rng = random.Random(8)
+    bits = ["a", "b.c", "..", ".", "/", "?q=1", "#p", "x y"]
+    hrefs = sorted({"".join(rng.choice(bits) + rng.choice(["/", "/", ""]) for _ in range(rng.randint(1, 5))) for _ in range(400)} | {"/..", "/../x", "a/..", ".", "..", "?q", "#p"})
+    hrefs = [h for h in hrefs if "//" not in h]
+    got = one(spark, lambda c: T.absolute_url(c, "https://h.org", "/d/e/", "/d/e/page"), *hrefs)
+    assert got == [urljoin("https://h.org/d/e/page", h) for h in hrefs]
+
+
 M = "<PossibleEntity>{}</PossibleEntity> <URL>:({})</URL>"
 
 
@@ -324,7 +334,7 @@ def test_sources_and_sinks(spark, tmp_path, triples):
     assert len(json.loads((tmp_path / "r_clean.json").read_text())) == 6
     sinks.write_ids(spark.createDataFrame([("Q2",), ("Q1",), ("Q2",)], "id string"), str(tmp_path / "out"))
     assert rows(spark.read.text(str(tmp_path / "out")), "value") == [("Q1",), ("Q2",)]
-    assert sinks.fetch_pages(spark.createDataFrame([("u",)], "url string"), lambda u: None).first().html is None
+    assert readers.fetch_pages(spark.createDataFrame([("u",)], "url string"), lambda u: None).first().html is None
 
 
 def test_crawl(spark):
