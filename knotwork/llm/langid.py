@@ -59,13 +59,15 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
         keep = np.ones(len(cp), bool)
         keep[1:] = (cp[1:] != 32) | (cp[:-1] != 32)
         cp = np.concatenate(([32], cp[keep], [32])).astype(np.uint32)
-        gram = np.zeros(len(cp), np.uint32)
+        gram, sizes = np.zeros(len(cp), np.uint32), []
         for n in range(1, 4):
             if len(cp) < n:
                 break
             gram = gram[: len(cp) - n + 1] * np.uint32(0x01000193) ^ (cp[n - 1 :] * np.uint32(0x9E3779B1))
-            h = (gram ^ (gram >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            counts += np.bincount((h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
+            sizes.append(gram)
+        h = np.concatenate(sizes)
+        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        counts += np.bincount((h ^ (h >> np.uint32(13))) & np.uint32(BUCKETS - 1), minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -135,18 +137,20 @@ def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: i
         shrunk = np.sign(z[at]) * np.maximum(np.abs(z[at]) - l1, 0)
         return -shrunk / ((beta + np.sqrt(n[at])) / alpha + l2)
 
+    rows = [(np.append(at, BUCKETS), np.append(x, 1.0), y) for at, x, y in rows]
     for _ in range(epochs):
         for at, x, y in rows:
-            at, x = np.append(at, BUCKETS), np.append(x, 1.0)
-            w = weights(at)
+            here, seen = z[at], n[at]
+            root = np.sqrt(seen)
+            w = -(np.sign(here) * np.maximum(np.abs(here) - l1, 0)) / ((beta + root) / alpha + l2)
             s = x @ w
             p = np.exp(s - s.max())
             p /= p.sum()
             p[y] -= 1
             g = x[:, None] * p[None, :]
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
+            seen += g * g
+            z[at] = here + g - (np.sqrt(seen) - root) / alpha * w
+            n[at] = seen
     w = weights(np.arange(BUCKETS + 1))
     return w[:BUCKETS], w[BUCKETS]
 

@@ -233,14 +233,16 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[La
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 m = measure(data, offsets)
                 codes, p, measures = gram_codes(data, offsets), pattern(votes(m)), measure_codes(m)
-                for i in np.flatnonzero(m[:, 0]):
-                    s = slice(offsets[i], offsets[i + 1])
-                    count = sum(np.bincount(c[s], minlength=FEATURES) for c in codes)
-                    at = np.flatnonzero(count)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[lo + i]], pa.int64()), pa.array([p[i]], pa.int32()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([count[at] / (s.stop - s.start)], pa.list_(pa.float64())), pa.array([measures[i].astype(np.int32)], pa.list_(pa.int32()))],
-                        names=["h", "pattern", "at", "x", "m"],
-                    )
+                rows, at, x = np.flatnonzero(m[:, 0]), [], []
+                for i in rows:
+                    one = slice(offsets[i], offsets[i + 1])
+                    count = sum(np.bincount(c[one], minlength=FEATURES) for c in codes)
+                    at.append(np.flatnonzero(count).astype(np.int32))
+                    x.append(count[at[-1]] / (one.stop - one.start))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[lo + rows], pa.int64()), pa.array(p[rows], pa.int32()), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64())), pa.array(list(measures[rows].astype(np.int32)), pa.list_(pa.int32()))],
+                    names=["h", "pattern", "at", "x", "m"],
+                )
 
     texts = docs.select(F.col(text).cast("string").alias("text")).where("text is not null")
     rows = sampling.chosen(texts, sampling.bound(sample, total), 2 * sample).mapInArrow(run, "h long, pattern int, at array<int>, x array<double>, m array<int>").toArrow().to_pandas().sort_values("h", kind="stable")
