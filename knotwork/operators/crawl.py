@@ -12,6 +12,7 @@ from knotwork.functions.sentences import sentences
 from knotwork.functions.text import page_title
 from knotwork.operators.frequency import mentions
 from knotwork.operators.graph import bfs_depths, same_site
+from knotwork.plans.lineage import keep
 
 
 def page_documents(pages: DataFrame, base: str, selector: str = "#mw-content-text p", box: str = ".vcard") -> DataFrame:
@@ -40,9 +41,9 @@ class Crawl:
 
 def crawl(pages: DataFrame, root: str, max_depth: int, base: str, selector: str = "#mw-content-text p", box: str = ".vcard") -> Crawl:
     """Breadth first from root over mentions that stay under base; a page that is missing or failed is visited, but leads nowhere."""
-    spoken = document_sentences(page_documents(pages, base, selector, box))
-    found = mentions(spoken)
-    links = same_site(found.select(F.col("page_id").alias("src"), F.col("url").alias("dst")).distinct(), base)
+    spoken, _ = keep(document_sentences(page_documents(pages, base, selector, box)), "sentences")  # so pages are parsed once, not at each level
+    found, _ = keep(mentions(spoken), "mentions")
+    links, _ = keep(same_site(found.select(F.col("page_id").alias("src"), F.col("url").alias("dst")).distinct(), base), "links")
     depths = bfs_depths(links, pages.sparkSession.range(1).select(F.lit(root).alias("url")), max_depth)
     visited = depths.select(F.col("url").alias("page_id"))
     return Crawl(depths, spoken.join(visited, "page_id", "left_semi"), found.join(visited, "page_id", "left_semi"))
