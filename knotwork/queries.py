@@ -74,7 +74,7 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_w(ST) + """SELECT entity, string_agg(DISTINCT t, ', ' ORDER BY t) AS entity_type FROM (SELECT head AS entity, head_type AS t FROM st UNION ALL SELECT tail, tail_type FROM st) WHERE t IS NOT NULL GROUP BY entity""")
 def merge_entity_types(spark, d):
-    return merge.joined(merge.merge_entity_types(_star(spark, d)), "entity_type").orderBy("entity")
+    return merge.joined(merge.merge_entity_types(_star(spark, d)), "entity_type")
 
 
 @query(_w(EV, EMG) + "SELECT head, tail, relation, first_seen FROM mg")
