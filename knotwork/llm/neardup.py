@@ -4,15 +4,14 @@ Documents with equal shingle sets are one class from the start, so copies cost n
 represented by minwise tokens. A number of independent trees branch the classes: the root of a tree sends a class to the child named by
 one of its tokens; a node that is still large chooses some coordinates of its own and sends each class on to the children
 named by the tokens there. Nodes that have become small are compared exhaustively by sketches, and
-what may be similar enough is confirmed on the full shingle sets. Nodes that stay large down to the greatest depth are compared
-block against block, so no node's size is a limit.
+what may be similar enough is confirmed on the full shingle sets. No node's size is a limit.
 
 A pair at the threshold s is missed by one tree with a chance of 1 - s at most where nodes are small after the root
 (0.2 at 0.8), so by 12 trees with 4e-9, plus about 1e-6 for the sketch; pairs that are split further still have each level's 1 - (1 - s)**branches.
 
 In large nodes only a spanning set of pairs is confirmed first; then the pairs between what is not yet connected. So all components are as if all pairs had been linked.
-Pairs are confirmed on both texts' whole sets, of 64-bit shingle hashes; a class with more than HUB partners meets them in groups of about HUB, so no task has all pairs of a hub. What is left quadratic is the comparison by sketches inside nodes that are still large at the
-greatest depth: more than LEAF different sets that all agree in seven tokens.
+Pairs are confirmed on both texts' whole sets, of 64-bit shingle hashes; a class with more than HUB partners meets them in groups of about HUB, so no task has all pairs of a hub. A node that is still large at the
+greatest depth - more than LEAF different sets that all agree in seven tokens - is first linked by random blocks that share a leader, and compared block against block only if that leaves it more than one component; this alone is quadratic in the node.
 
 Null or wordless texts have an empty set and link with nothing. A null doc_id links with nothing and is kept. Rows that
 repeat a doc_id count each by their own text. Ties don't matter: the smallest doc_id stands for a group. Very long texts are compared whole. An empty table gives no rows. Extra columns are ignored, whatever their names.
@@ -227,7 +226,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Branch until nodes are small; what stays large at the last level goes on as pairs of blocks.
     nodes = classes.select("rep", "tokens").mapInArrow(_roots(trees), "node long, rep long")
-    levels, paths = [], []
+    levels, paths, deep = [], [], None
     for level in range(depth):
         sizes = nodes.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
         shared, path = store.keep(nodes.join(sizes, "node"), "nodes", "lz4")
@@ -238,9 +237,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             break
         nodes = large.select("node", "rep").join(classes.select("rep", "tokens"), "rep").select("node", "rep", "tokens").mapInArrow(_branch(trees), "node long, rep long")
     else:
+        # first random blocks, in each of which stands the node's leader, so blocks of one cluster are connected through it
         half = max(1, leaf // 2)
-        blocks = large.withColumn("of", F.ceil(F.col("members") / half)).withColumn("own", F.expr("pmod(xxhash64(rep), of)")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-        levels.append(blocks.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep", F.lit(SMALL + 1).cast("long").alias("members")))
+        deep = large.withColumn("of", F.ceil(F.col("members") / half)).withColumn("own", F.expr("pmod(xxhash64(rep), of)"))
+        lead = deep.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "own", "of")).alias("first")).select("node", "first.*")
+        others = lead.withColumn("block", F.explode(F.expr("filter(sequence(0, of - 1), k -> k <> own)"))).select(F.xxhash64("node", "block").alias("node"), "rep")
+        levels.append(deep.select(F.xxhash64("node", "own").alias("node"), "rep").unionByName(others).withColumn("members", F.lit(0).cast("long")))
     rows = levels[0]
     for more in levels[1:]:
         rows = rows.unionByName(more)
@@ -266,8 +268,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     links, links_path = confirmed(compared(rows, None))
     labels = components(links)
-    if rows.where(f"members > {SMALL}").limit(1).count():
-        more, more_path = confirmed(compared(rows.where(f"members > {SMALL}"), labels))
+    again = rows.where(f"members > {SMALL}").select("node", "rep")
+    if deep is not None:
+        # block against block only in nodes that aren't one component by now
+        named = deep.join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        torn = named.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
+        pairs = deep.join(torn, "node", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
+        again = again.unionByName(pairs.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep"))
+    if again.limit(1).count():
+        more, more_path = confirmed(compared(again, labels))
         if more.limit(1).count():
             labels = components(links.union(more))
         store.drop(spark, more_path)
