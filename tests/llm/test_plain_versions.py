@@ -183,6 +183,15 @@ def test_very_long_texts_of_other_operators(spark):
     assert (r.n_turns, r.loss_chars) == (3, 2 * len(long))
 
 
+def test_languages_of_odd_tables(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert langid.train(empty) is None and langid.predict(empty, None).count() == 0
+    ids = spark.createDataFrame([(None, "der Satz und die Worte", "de")] * 5 + [(None, "the words and a sentence", "en")] * 5 + [(7, None, "fr"), (7, "12", None)], "doc_id long, text string, lang string")
+    model = langid.train(ids)
+    assert model.languages == ["de", "en"]  # ids play no part, and a text that stands five times counts once
+    assert sorted({r.lang_pred for r in langid.predict(ids, model).collect()}) == ["de", "en", "und"]
+
+
 def test_decontaminated_by_hand():
     rng = random.Random(1)
     item = tuple(f"i{k}" for k in range(13))
