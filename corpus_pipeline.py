@@ -29,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occurred before.
 
-    A document goes if less than a fifth of its words is left: what it was stood in earlier documents by four fifths or more, and its remains are scraps, not a text. Every other one stays with what is left.
+    A document goes if less than half of its words is left: most of what it said stood in earlier documents (it is an exact or near copy, or quotes for the most part), and its remains are torn text, in which near-dedup could not see the copy any more. Every other one stays with what is left.
     Null texts, those without words and those without a repeated run stay as they are. Rows that repeat both id and text share a fate (the first of them isn't told from the others, so near-dedup
     takes the copies); one id on several texts is several documents, of which the one with the least text hash comes first; null ids come before all others. Very long texts are read whole. An empty table stays one.
     """
@@ -78,7 +78,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 #: A document of which line dedup leaves less than 1 / REMAINDER of its words goes.
-REMAINDER = 5
+REMAINDER = 2
 
 STAGES = [
     ("quality classifier", quality_classifier),
