@@ -59,9 +59,9 @@ def test_stages_on_repeated_ids_and_clashing_columns(spark):
 
 def test_remains_of_copies_go(spark):
     words = [f"söz{k}" for k in range(200)]
-    rows = [(1, " ".join(words)), (2, " ".join(words + [f"yeni{k}" for k in range(49)])), (3, " ".join(words[:60] + [f"öz{k}" for k in range(15)])), (4, "kısa")]
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"yeni{k}" for k in range(49)])), (3, " ".join(words[:60] + [f"öz{k}" for k in range(60)])), (5, " ".join(words[:61] + [f"son{k}" for k in range(60)])), (4, "kısa")]
     out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
-    assert out == {1: rows[0][1], 3: " ".join(f"öz{k}" for k in range(15)), 4: "kısa"}
+    assert out == {1: rows[0][1], 3: " ".join(f"öz{k}" for k in range(60)), 4: "kısa"}
 
 
 def test_last_stage_takes_odd_tables(spark):
