@@ -47,8 +47,8 @@ def merge_statistics(triples: DataFrame) -> DataFrame:
     kind = lambda name, given, a, b: F.when(given, F.struct(F.lit(name).alias("kind"), a.alias("a"), b.alias("b")))
     head, tail, none = F.col("head"), F.col("tail"), F.lit(None).cast("string")
     # one pass: every row gives its pair and its typed ends, which are counted by key
-    keys = F.array_compact(F.array(kind("pair", F.lit(True), head, tail), kind("entity", F.col("head_type").isNotNull(), head, none), kind("entity", F.col("tail_type").isNotNull(), tail, none)))
-    counted = triples.select(F.explode(keys).alias("k")).select("k.*").groupBy("kind", "a", "b").agg(F.count("*").alias("times"))
+    keys = F.array(kind("pair", F.lit(True), head, tail), kind("entity", F.col("head_type").isNotNull(), head, none), kind("entity", F.col("tail_type").isNotNull(), tail, none))
+    counted = triples.select(F.explode(keys).alias("k")).where("k is not null").select("k.*").groupBy("kind", "a", "b").agg(F.count("*").alias("times"))
     count = lambda cond: F.count(F.when(F.expr(cond), 1))
     one = counted.agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "pair", F.col("times"))), F.lit(0)).alias("total_original_records"), count("kind = 'pair' and a is not null and b is not null").alias("n"), count("kind = 'entity' and a is not null").alias("entities")
