@@ -56,7 +56,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     groups, groups_path = store.keep(base.where("g is not null").groupBy("g").agg(F.count("*").alias("members")).where("members > 1"), "groups")
     home = F.expr(f"cast(pmod(xxhash64(row, 11), {shards}) as int)")
-    parts = f"ceil(members / {max(2, total // shards)})"
+    full = max(2, total // shards)
+    # parts are cut by hash, so they are planned two standard deviations below a shard's size
+    parts = f"if(members <= {full}, 1, ceil(members / {max(1, int(full - 2 * full**0.5))}))"
     linked = sampling.join_split(base.where("g is not null").select("row", "g"), groups, ["g"], total, "members").select(
         "row", F.col("g").alias("text"), F.expr(f"xxhash64(g, pmod(xxhash64(row, 5), {parts}))").alias("g"), F.expr(f"members / {parts} > {max(64, total // (8 * shards))}").alias("wide"), home.alias("shard")
     )
