@@ -34,6 +34,8 @@ TOKENS, TREES, BRANCHES, DEPTH = 64, 12, 2, 6
 LEAF = 1024
 #: Nodes up to this size give all their candidate pairs at once.
 SMALL = 16
+#: Candidate pairs of nodes that leave a task together.
+PAIRS = 1 << 17
 #: Partners of a class that its text is sent to at a time.
 HUB = 64
 #: Of TOKENS, as many must agree for a pair to be confirmed; for a similarity of 0.8 fewer do with a chance of 1e-6.
@@ -138,17 +140,27 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _compare(similarity: float, spanning: bool) -> Callable:
-    """Candidate pairs of each node. spanning: large nodes give a star around each of their densest members; else they give all pairs whose components differ."""
+    """Candidate pairs of each node; rows (node, rep, n_shingles, comp, tokens) come sorted by node, and pairs leave PAIRS at a time, so memory hangs on one node alone. spanning: large nodes give a star around each of their densest members; else they give all pairs whose components differ."""
     agree = agreement(similarity)
 
+    def near_of(rep: np.ndarray, size: np.ndarray, same: np.ndarray, rows: np.ndarray | slice) -> np.ndarray:
+        low, high = np.minimum(size[rows, None], size[None, :]), np.maximum(size[rows, None], size[None, :])
+        return (same >= agree) & (low >= similarity * high - 1e-6) & (rep[rows, None] != rep[None, :])
+
     def pairs_of(rep: np.ndarray, size: np.ndarray, comp: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         m = len(rep)
-        same = _agreeing(tokens, tokens)
-        near = (same >= agree) & (np.minimum(size[:, None], size[None, :]) >= similarity * np.maximum(size[:, None], size[None, :]) - 1e-6) & (rep[:, None] != rep[None, :])
         if not spanning or m <= SMALL:
-            near &= comp[:, None] != comp[None, :]
-            a, b = np.nonzero(np.triu(near, 1))
-            return rep[a], rep[b]
+            # the largest component has no pairs of its own to find
+            _, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
+            rest = which != counts.argmax()
+            rows = np.flatnonzero(rest)
+            near = near_of(rep, size, _agreeing(tokens[rows], tokens), rows) & (comp[rows, None] != comp[None, :])
+            a, b = np.nonzero(near)
+            a = rows[a]
+            once = ~rest[b] | (a < b)
+            return rep[a[once]], rep[b[once]]
+        same = _agreeing(tokens, tokens)
+        near = near_of(rep, size, same, slice(None))
         degree = near.sum(axis=1)
         free, out_a, out_b = degree > 0, [], []
         for v in np.argsort(-degree, kind="stable"):
@@ -163,25 +175,47 @@ def _compare(similarity: float, spanning: bool) -> Callable:
             out_b.append(rep[others])
         return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (rep[:0], rep[:0])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_nodes(rep: np.ndarray, size: np.ndarray, comp: np.ndarray, tokens: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        counts = np.diff(offsets)
+        two = offsets[:-1][counts == 2]
+        if len(two):
+            ok = ((tokens[two] == tokens[two + 1]).sum(axis=1) >= agree) & (np.minimum(size[two], size[two + 1]) >= similarity * np.maximum(size[two], size[two + 1]) - 1e-6) & (comp[two] != comp[two + 1])
+            yield rep[two[ok]], rep[two[ok] + 1]
+        for g in np.flatnonzero(counts > 2):
+            s = slice(offsets[g], offsets[g + 1])
+            yield pairs_of(rep[s], size[s], comp[s], tokens[s])
+
+    def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    def whole_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """Columns and where nodes begin; a node whose rows go on in the next batch waits for it."""
+        held = None
         for batch in batches:
-            col = batch.column(0)
-            offsets = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1 + col.offset)[col.offset :]
-            flat = col.flatten()
-            rep, size, comp = (flat.field(k).to_numpy() for k in range(3))
-            tokens = matrix(flat.field(3))
-            offsets = offsets - offsets[0]
-            counts = np.diff(offsets)
-            out = []
-            two = offsets[:-1][counts == 2]
-            if len(two):
-                ok = ((tokens[two] == tokens[two + 1]).sum(axis=1) >= agree) & (np.minimum(size[two], size[two + 1]) >= similarity * np.maximum(size[two], size[two + 1]) - 1e-6) & (comp[two] != comp[two + 1])
-                out.append((rep[two[ok]], rep[two[ok] + 1]))
-            for g in np.flatnonzero(counts > 2):
-                s = slice(offsets[g], offsets[g + 1])
-                out.append(pairs_of(rep[s], size[s], comp[s], tokens[s]))
-            a, b = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+            if not len(batch):
+                continue
+            cols = [batch.column(k).to_numpy() for k in range(4)] + [matrix(batch.column(4))]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            begin = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1))
+            held = [x[begin[-1] :].copy() for x in cols]
+            if len(begin) > 1:
+                yield [x[: begin[-1]] for x in cols[1:]], begin
+        if held is not None:
+            yield held[1:], np.array([0, len(held[0])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, offsets in whole_nodes(batches):
+            out, n = [], 0
+            for found in of_nodes(*cols, offsets):
+                out.append(found)
+                n += len(found[0])
+                if n >= PAIRS:
+                    yield batch_of(out)
+                    out, n = [], 0
+            if n:
+                yield batch_of(out)
 
     return run
 
@@ -250,8 +284,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def compared(chosen: DataFrame, labels: DataFrame | None) -> DataFrame:
         at = by_rep if labels is None else by_rep.join(labels.toDF("rep", "comp"), "rep", "left")
         full = chosen.select("node", "rep").join(at.select("rep", "n_shingles", (F.col("rep") if labels is None else F.coalesce("comp", "rep")).alias("comp"), "tokens"), "rep")
-        grouped = full.groupBy("node").agg(F.collect_list(F.struct("rep", "n_shingles", "comp", "tokens")).alias("m")).select("m")
-        return grouped.mapInArrow(_compare(similarity, labels is None), "a long, b long").distinct()
+        sorted_ = full.select("node", "rep", "n_shingles", "comp", "tokens").repartition("node").sortWithinPartitions("node")
+        return sorted_.mapInArrow(_compare(similarity, labels is None), "a long, b long").distinct()
 
     def confirmed(found: DataFrame) -> tuple[DataFrame, str]:
         pairs, pairs_path = store.keep(found, "pairs", "lz4")
@@ -270,11 +304,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labels = components(links)
     again = rows.where(f"members > {SMALL}").select("node", "rep")
     if deep is not None:
-        # block against block only in nodes that aren't one component by now
-        named = deep.join(labels.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        torn = named.groupBy("node").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("node")
-        pairs = deep.join(torn, "node", "left_semi").withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-        again = again.unionByName(pairs.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "rep"))
+        # block against block only in nodes that aren't one component by now, and there all but the largest component with all
+        named = deep.join(labels.toDF("rep", "comp"), "rep", "left").select("node", "rep", F.coalesce("comp", "rep").alias("comp"))
+        counts = named.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"))
+        torn = counts.where("all > most.n").select("node", F.col("most.comp").alias("main"), F.ceil(F.col("most.n") / half).alias("mains"), F.ceil((F.col("all") - F.col("most.n")) / half).alias("rests"))
+        sides = named.join(torn, "node").withColumn("inside", F.expr("comp = main")).withColumn("own", F.expr("pmod(xxhash64(rep), if(inside, mains, rests))"))
+        across = sides.withColumn("other", F.explode(F.expr("sequence(0, if(inside, rests, mains) - 1)")))
+        again = again.unionByName(across.select(F.expr("xxhash64(node, if(inside, own, other), if(inside, other, own), 1)").alias("node"), "rep"))
+        among = sides.where("not inside and rests > 1").withColumn("other", F.explode(F.expr("sequence(0, rests - 1)"))).where("other <> own")
+        again = again.unionByName(among.select(F.expr("xxhash64(node, least(own, other), greatest(own, other), 0)").alias("node"), "rep"))
     if again.limit(1).count():
         more, more_path = confirmed(compared(again, labels))
         if more.limit(1).count():

@@ -151,6 +151,24 @@ def test_near_duplicates(spark, monkeypatch, leaf, depth, hub):
     assert got == near(texts, 4, 80)
 
 
+def test_nodes_over_batches(monkeypatch):
+    monkeypatch.setattr(neardup, "PAIRS", 10, raising=False)
+    rng = np.random.default_rng(3)
+    counts = np.array([1, 2, 3, 12, 1, 20, 2, 9, 5])
+    node = np.repeat(np.arange(len(counts)), counts)
+    rep, comp = np.arange(len(node)), rng.integers(0, 4, len(node))
+    comp[node == 5] = 7
+    base = rng.integers(0, 2**32, (3, neardup.TOKENS), dtype=np.uint32)
+    kind = rng.integers(0, 3, len(node))
+    rows = pa.RecordBatch.from_arrays([*(pa.array(x) for x in (node, rep, np.full(len(node), 50), comp)), neardup.fixed(base[kind])], names=["node", "rep", "n_shingles", "comp", "tokens"])
+    want = {(a, b) for a in rep.tolist() for b in range(a + 1, len(node)) if node[a] == node[b] and kind[a] == kind[b] and comp[a] != comp[b]}
+    for step in (1, 7, len(node)):
+        out = list(neardup._compare(0.8, False)(iter([rows.slice(k, step) for k in range(0, len(node), step)])))
+        got = [(r["a"], r["b"]) for x in out for r in x.to_pylist()]
+        assert sorted(got) == sorted(want)
+        assert max(len(x) for x in out) < 10 + 12 * 11 // 2  # pairs of all nodes of a batch are not held together
+
+
 def test_near_duplicates_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e", 1), (2, "a b c d e", 1), (2, "a b c d e", 1)], "doc_id long, text string, n_shingles int")
     got = [(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()]
