@@ -627,10 +627,7 @@ def page_files(spark, d):
 def claims_file(spark, d):
     """All suppliers' claims as one document in a file, read back as edges."""
     to = scratch(spark, "claims") + "/claims.json"
-    with sinks.writing(spark, to) as out:
-        for k, r in enumerate(views.claim_docs(spark, d).select("json").toLocalIterator()):
-            out.write(("," if k else "{") + r.json[1:-1])
-        out.write("}")
+    sinks.write_lines(spark, to, "{", views.claim_docs(spark, d).select("json").rdd.map(lambda r: r.json[1:-1]), "}", between=",")
     return graph.claim_edges(graph.parse_claims(readers.read_claims(spark, to))).select("src", "dst", "property", "kind")
 
 

@@ -1,33 +1,35 @@
-"""Sinks. Tables are written where they are, in many files; single small files (a JSON list, CSV with a byte-order mark, GEXF) are streamed through the driver, row by row, to whatever file system their path names."""
+"""Sinks. Tables are written where they are, in many files. A single file (a JSON list, CSV with a byte-order mark, GEXF) is put together by one task from pieces of about a MB that are made where the rows are; no row goes through the driver.
+Its path may name any file system that Hadoop knows and all executors share."""
 
 from __future__ import annotations
 
 import codecs
 import csv
+import io
 import json
 import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from functools import partial
 from xml.sax.saxutils import quoteattr
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import RDD
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.operators.extraction import clean_output
-from knotwork.plans.lineage import file_system
+from knotwork.plans.lineage import drop, file_system, keep
 from knotwork.plans.schema import to_edge
 
+_PIECE = 1 << 20
+
 
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines; null fields are left out."""
     df.write.mode("overwrite").json(path)
 
 
-def _objects(df: DataFrame) -> Iterator[dict]:
-    for r in df.select(F.to_json(F.struct(*df.columns)).alias("j")).toLocalIterator():
-        yield json.loads(r.j)
-
-
 class _Text:
     """Text to a Hadoop output stream, some hundred KB at a time."""
 
@@ -59,18 +61,63 @@ def writing(spark: SparkSession, file: str) -> Iterator[_Text]:
         out.close()
 
 
+def _pieces(section: int, sep: str, part: int, lines: Iterable[str]) -> Iterator[tuple[int, int, int, str]]:
+    """(section, part, k, value): a partition's lines, joined to about a MB each."""
+    held, size, k = [], 0, 0
+    for x in lines:
+        held.append(x)
+        size += len(x)
+        if size > _PIECE:
+            yield section, part, k, sep.join(held)
+            held, size, k = [], 0, k + 1
+    if held:
+        yield section, part, k, sep.join(held)
+
+
+def write_lines(spark: SparkSession, file: str, *sections: str | RDD[str], between: str = "", end: str = "\n") -> None:
+    """One text file of given lines and RDDs of lines, in order; each line has `end`, and those of an RDD but its last have `between` before it. An existing file is replaced."""
+    sc = spark.sparkContext
+    made = [sc.parallelize([(i, 0, 0, x)], 1) if isinstance(x, str) else x.mapPartitionsWithIndex(partial(_pieces, i, between + end)) for i, x in enumerate(sections)]
+    pieces, path = keep(spark.createDataFrame(sc.union(made), "section int, part int, k int, value string", verifySchema=False), "pieces")
+    at = F.struct("section", "part", "k")
+    last = [r.last for r in pieces.groupBy("section").agg(F.max(at).alias("last")).collect()]  # one a section
+    is_last = F.col("at").isin([F.struct(*(F.lit(v).cast("int").alias(n) for n, v in r.asDict().items())) for r in last])
+    lines = pieces.coalesce(1).sortWithinPartitions("section", "part", "k").select("value", at.alias("at")).select(F.when(is_last, F.col("value")).otherwise(F.concat("value", F.lit(between))).alias("value"))
+    p, fs = file_system(spark, file)
+    p = fs.makeQualified(p)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(p.getParent(), f".{p.getName()}-{uuid.uuid4().hex}")
+    try:
+        lines.write.option("lineSep", end).option("compression", "none").option("maxRecordsPerFile", 0).text(folder.toString())
+        (whole,) = (x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+        if fs.exists(p):
+            fs.delete(p, False)
+        if not fs.rename(whole, p):
+            raise OSError(f"{file} can't be written")
+    finally:
+        fs.delete(folder, True)
+        drop(spark, path)
+
+
+def _json_lines(indent: int, rows: Iterable[Row]) -> Iterator[str]:
+    for r in rows:
+        yield json.dumps(json.loads(r.j), ensure_ascii=False, indent=indent)
+
+
+def _csv_lines(rows: Iterable[Row]) -> Iterator[str]:
+    for r in rows:
+        csv.writer(out := io.StringIO()).writerow(r)
+        yield out.getvalue().removesuffix("\r\n")
+
+
 def write_json_list(df: DataFrame, file: str, indent: int = 4) -> None:
     """One file with a JSON list, in df's order; null fields are left out."""
-    with writing(df.sparkSession, file) as out:
-        out.write("[")
-        for k, row in enumerate(_objects(df)):
-            out.write(("," if k else "") + "\n" + json.dumps(row, ensure_ascii=False, indent=indent))
-        out.write("\n]\n")
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("j")).rdd
+    write_lines(df.sparkSession, file, "[", rows.mapPartitions(partial(_json_lines, indent)), "]", between=",")
 
 
 def write_statistics(statistics: DataFrame, file: str) -> None:
     """The one row of merge statistics as a nested document."""
-    s = next(_objects(statistics))
+    s = json.loads(statistics.select(F.to_json(F.struct(*statistics.columns)).alias("j")).first().j)
     doc = {"merge_statistics": {k: s[k] for k in s if k.endswith(("records", "count"))}, "merge_efficiency": {k: s[k] for k in s if k.endswith("reduction")}}
     with writing(statistics.sparkSession, file) as out:
         out.write(json.dumps(doc, ensure_ascii=False, indent=4))
@@ -82,11 +129,8 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def write_csv_file(df: DataFrame, file: str) -> None:
     """One CSV file with a byte-order mark, without an index."""
-    with writing(df.sparkSession, file) as out:
-        out.write(codecs.BOM_UTF8.decode())
-        w = csv.writer(out)
-        w.writerow(df.columns)
-        w.writerows(df.toLocalIterator())
+    (head,) = _csv_lines([df.columns])
+    write_lines(df.sparkSession, file, codecs.BOM_UTF8.decode() + head, df.rdd.mapPartitions(_csv_lines), end="\r\n")
 
 
 def clean_name(file: str) -> str:
@@ -105,13 +149,17 @@ def write_ids(ids: DataFrame, path: str) -> None:
     ids.select("id").distinct().orderBy("id").write.mode("overwrite").text(path)
 
 
+def _node(n: Row) -> str:
+    return f"<node id={quoteattr(n.id)} label={quoteattr(n.label)}/>"
+
+
+def _edge(numbered: tuple[Row, int]) -> str:
+    e, k = numbered
+    return f'<edge id="{k}" source={quoteattr(e.src)} target={quoteattr(e.dst)}><attvalues><attvalue for="0" value={quoteattr(e.property)}/></attvalues></edge>'
+
+
 def write_gexf(nodes: DataFrame, edges: DataFrame, file: str) -> None:
     """A graph as GEXF 1.2, with labels and each edge's property; parallel edges stay."""
-    with writing(nodes.sparkSession, file) as out:
-        out.write('<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n<graph defaultedgetype="directed">\n<attributes class="edge"><attribute id="0" title="property" type="string"/></attributes>\n<nodes>\n')
-        for n in nodes.select("id", "label").toLocalIterator():
-            out.write(f"<node id={quoteattr(n.id)} label={quoteattr(n.label)}/>\n")
-        out.write("</nodes>\n<edges>\n")
-        for k, e in enumerate(edges.select("src", "dst", "property").toLocalIterator()):
-            out.write(f'<edge id="{k}" source={quoteattr(e.src)} target={quoteattr(e.dst)}><attvalues><attvalue for="0" value={quoteattr(e.property)}/></attvalues></edge>\n')
-        out.write("</edges>\n</graph>\n</gexf>\n")
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2">\n<graph defaultedgetype="directed">\n<attributes class="edge"><attribute id="0" title="property" type="string"/></attributes>\n<nodes>'
+    each = edges.select("src", "dst", "property").rdd.zipWithIndex().map(_edge)
+    write_lines(nodes.sparkSession, file, head, nodes.select("id", "label").rdd.map(_node), "</nodes>\n<edges>", each, "</edges>\n</graph>\n</gexf>")

@@ -1,7 +1,9 @@
 """Golden cases, properties and edges of the core operators."""
 
+import csv
 import json
 import random
+import re
 from itertools import combinations
 from urllib.parse import urljoin
 
@@ -431,3 +433,28 @@ def test_crawl_report(spark, tmp_path):
     assert rows(readers.read_csv(spark, str(tmp_path / "out" / "entities")), "entity", "n_pages", "titles") == [("n/b", "2", "A | C"), ("n/c", "2", "A | B")]
     assert readers.read_csv(spark, str(tmp_path / "out" / "urls")).count() == 3 and readers.read_csv(spark, str(tmp_path / "out" / "occurrences")).count() == 5
     assert readers.read_csv(spark, str(tmp_path / "out" / "pairs")).count() == 2
+
+
+def test_single_files_without_the_driver(spark, tmp_path, monkeypatch):
+    """Rows of a single file don't come to the driver, and keep their order over many pieces of a MB."""
+
+    def rows_to_driver(self, *_):
+        raise AssertionError("rows come to the driver")
+
+    long = spark.range(0, 40_000, 1, 5).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), F.repeat(F.lit("ş,\n"), 30).alias("label"), "id").toDF("id", "label", "k").orderBy(F.desc("k"))
+    edges = long.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.col("label").alias("property"))
+    with monkeypatch.context() as m:
+        m.setattr(type(long), "toLocalIterator", rows_to_driver)
+        sinks.write_json_list(long.drop("k"), str(tmp_path / "l.json"))
+        sinks.write_json_list(long.where("k < 0"), str(tmp_path / "e.json"))
+        for _ in range(2):
+            sinks.write_csv_file(long.select("id", "label"), str(tmp_path / "l.csv"))
+        sinks.write_gexf(long, edges, str(tmp_path / "g.gexf"))
+    want = [(f"n{k}", "ş,\n" * 30) for k in reversed(range(40_000))]
+    assert [tuple(r.values()) for r in json.loads((tmp_path / "l.json").read_text())] == want
+    assert (tmp_path / "l.json").read_text().startswith('[\n{\n    "id": "n39999",') and (tmp_path / "e.json").read_text() == "[\n]\n"
+    with (tmp_path / "l.csv").open(encoding="utf-8-sig", newline="") as f:
+        assert [tuple(r) for r in csv.reader(f)] == [("id", "label"), *want]
+    ids = [re.findall(rf'^<{tag}="([^"]*)"', (tmp_path / "g.gexf").read_text(), re.M) for tag in ("node id", "edge id")]
+    assert ids == [[n for n, _ in want], [str(k) for k in range(40_000)]]
+    assert not [p for p in tmp_path.iterdir() if p.is_dir()]
