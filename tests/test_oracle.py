@@ -114,3 +114,14 @@ def test_one_pass(spark, name):
     """These plans read and join each table once."""
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") <= 2 if name == "coverage" else plan.count("lineitem.parquet") <= 2
+
+
+@pytest.mark.parametrize("name", ["triple_files", "triple_file_list", "bad_files", "merge_run", "merge_run_statistics", "claims_file"])
+def test_files_without_the_driver(spark, monkeypatch, name):
+    """What is written as single files doesn't go through the driver row by row."""
+
+    def rows_to_driver(self, *_):
+        raise AssertionError("rows come to the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", rows_to_driver)
+    assert QUERIES[name](spark, SF).count()
