@@ -32,6 +32,11 @@ def merge_relations_and_types(triples: DataFrame) -> DataFrame:
     return triples.groupBy("head", "tail").agg(_set("relation"), _set("head_type"), _set("tail_type"), F.min("seq").alias("first_seen"))
 
 
+def merge_values(triples: DataFrame, *values: str) -> DataFrame:
+    """By (head, tail): the given columns as sorted sets; merge_relations_and_types() for triples that have no others."""
+    return triples.groupBy("head", "tail").agg(*(_set(c) for c in values))
+
+
 def merge_relations(merged: DataFrame) -> DataFrame:
     """By (head, tail): relation, first_seen; a projection of merge_relations_and_types()."""
     return merged.select("head", "tail", "relation", "first_seen")

@@ -28,15 +28,18 @@ def triples_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def triples_star(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier - SUPPLIES - part, customer - ORDERED - part; part names have several types. The return flag is the source, so there are three."""
+    """Supplier - SUPPLIES - part, customer - ORDERED - part; part names have several types. The return flag is the source, so there are three.
+
+    Orders join by keys alone before parts bring their texts, which so go through one shuffle; customers come last, so a head's rows are together and group-bys combine before they shuffle.
+    """
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
     seq = F.col("l_orderkey") * 16 + F.col("l_linenumber") * 2
-    with_part = items.join(parts, items.l_partkey == parts.p_partkey)
-    supply = with_part.join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    with_part = lambda df: df.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    supply = with_part(items).join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    order = with_part.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    order = with_part(items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))).join(customers, F.col("o_custkey") == F.col("c_custkey"))
     common = {"tail": F.col("p_name"), "source": F.col("l_returnflag")}
     return _triples(supply, head=F.col("s_name"), head_type=F.lit("Supplier"), relation=F.lit("SUPPLIES"), tail_type=F.col("p_type"), seq=seq, **common).unionByName(
         _triples(order, head=F.col("c_name"), head_type=F.col("c_mktsegment"), relation=F.concat(F.lit("ORDERED "), "p_brand"), tail_type=F.col("p_type"), seq=seq + 1, **common)

@@ -215,9 +215,9 @@ def complex_records(spark, d):
 
 
 def _partly_merged(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Star triples, and the merge of those of two sources, with relations as the files' readers see them. Both come from one table, so the star is joined once."""
-    t, _ = keep(_star(spark, d).select("head", "head_type", "relation", "tail", "tail_type", "source", "seq"), "star")
-    return t, quality.reread(merge.merge_relations_and_types(t.where("source <> 'R'")), "relation")
+    """Star triples, and the merge of those of two sources, with relations as the files' readers see them. Both come from one table, so the star is joined once; it has what is compared alone, as types and places would go through each shuffle of the joins."""
+    t, _ = keep(_star(spark, d).select("head", "relation", "tail", "source"), "star")
+    return t, quality.reread(merge.merge_values(t.where("source <> 'R'"), "relation"), "relation")
 
 
 _PART = _w(ST) + ", mm AS (SELECT * FROM st WHERE source <> 'R'), eo AS (SELECT head AS entity FROM st UNION SELECT tail FROM st), em AS (SELECT head AS entity FROM mm UNION SELECT tail FROM mm) "

@@ -8,8 +8,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from knotwork import queries
 from knotwork.functions.html import paragraphs
 from knotwork.functions.similarity import ratio
+from knotwork.plans import lineage, views
 from knotwork.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -125,3 +127,28 @@ def test_files_without_the_driver(spark, monkeypatch, name):
 
     monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", rows_to_driver)
     assert QUERIES[name](spark, SF).count()
+
+
+@pytest.mark.parametrize("name", ["coverage"])
+def test_stars_are_kept_narrow(spark, monkeypatch, name):
+    """Types and places, which these don't compare, go through no join of the star and into no kept table."""
+    kept = []
+    monkeypatch.setattr(queries, "keep", lambda df, name: kept.append(df) or lineage.keep(df, name))
+    QUERIES[name](spark, SF)
+    (star,) = kept
+    assert set(star.columns) <= {"head", "relation", "tail", "source"}
+    plan = [line for line in star._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" not in line]
+    assert len(plan) > 10 and not re.search("p_type#|c_mktsegment#|l_linenumber#", "".join(plan))
+
+
+def test_orders_join_the_star_by_keys(spark):
+    """Below the join with orders there is no text of a part."""
+    plan = views.triples_star(spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda line: re.search(r"[A-Z]", line).start()
+    at = next(k for k, line in enumerate(plan) if re.search(r"Join Inner.*l_orderkey#\d+L = o_orderkey", line))
+    below = []
+    for line in plan[at + 1 :]:
+        if depth(line) <= depth(plan[at]):
+            break
+        below.append(line)
+    assert any("o_orderkey" in line for line in below) and not any("p_name" in line for line in below if "Relation [" not in line)
