@@ -236,8 +236,8 @@ _LOST = _w(ST) + ", lo AS (SELECT head AS entity FROM st UNION SELECT tail FROM
 
 def _lost(spark, d) -> DataFrame:
     """What a merge that has seen suppliers' triples alone lacks of all."""
-    t, _ = keep(_star(spark, d).select("head", "head_type", "relation", "tail", "tail_type", "seq"), "star")
-    return quality.lost(t, merge.merge_relations_and_types(t.where("relation = 'SUPPLIES'")))
+    t, _ = keep(_star(spark, d).select("head", "relation", "tail"), "star")
+    return quality.lost(t, merge.merge_values(t.where("relation = 'SUPPLIES'"), "relation"))
 
 
 @query(_LOST + "SELECT entity FROM lo")
