@@ -129,7 +129,7 @@ def test_files_without_the_driver(spark, monkeypatch, name):
     assert QUERIES[name](spark, SF).count()
 
 
-@pytest.mark.parametrize("name", ["coverage", "lost_entities"])
+@pytest.mark.parametrize("name", ["coverage", "lost_entities", "new_entities"])
 def test_stars_are_kept_narrow(spark, monkeypatch, name):
     """Types and places, which these don't compare, go through no join of the star and into no kept table."""
     kept = []
